@@ -20,6 +20,8 @@ THRESHOLDS = tuple(0.1 + 0.025 * i for i in range(33))
 
 def _join(frames: list[DataFrame], by: list[str]) -> DataFrame:
     def two(a: DataFrame, b: DataFrame) -> DataFrame:
+        if not by:  # one row each
+            return a.withColumns({c: b.select(c).scalar() for c in b.columns if c not in a.columns})
         renamed = b.withColumnsRenamed({k: f"_r_{k}" for k in by})
         return a.join(renamed, same_keys([(k, f"_r_{k}") for k in by])).drop(*[f"_r_{k}" for k in by])
     return reduce(two, frames)

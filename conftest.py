@@ -1,0 +1 @@
+"""Makes the package importable from the tests without installation."""

@@ -29,16 +29,13 @@ def mentions(lowered: Column, substrings: tuple[str, ...]) -> Column:
 
 
 def word_char_grams(text: Column, sizes: tuple[int, ...] = (3, 4)) -> Column:
-    """Character n-grams that stay inside one blank-padded, lower-cased word."""
-    padded = F.transform(words(F.lower(text)), lambda w: F.concat(F.lit(" "), w, F.lit(" ")))
-
-    def cut(word: Column) -> Column:
-        pieces = []
-        for n in sizes:
-            starts = F.when(F.length(word) >= n, F.sequence(F.lit(1), F.length(word) - F.lit(n - 1)))
-            pieces.append(F.transform(
-                F.coalesce(starts, F.array().cast("array<int>")),
-                lambda i, n=n: F.substring(word, i, F.lit(n))))
-        return F.concat(*pieces)
-
-    return F.flatten(F.transform(padded, cut))
+    """Character n-grams that stay inside one blank-padded, lower-cased word.
+
+    Words are set two blanks apart, so a window that leaves its word is exactly one
+    holding a double blank. A look-ahead reads the window at every character.
+    """
+    spaced = F.concat(F.lit(" "), F.regexp_replace(
+        strip_blanks(F.lower(text)), rf"(?U)[{_BLANK}]+", "  "), F.lit(" "))
+    return F.concat(*[
+        F.regexp_extract_all(spaced, F.lit(rf"(?s)(?=((?:(?!  ).){{{n - 1}}}.))."), F.lit(1))
+        for n in sizes])

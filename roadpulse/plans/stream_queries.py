@@ -20,8 +20,8 @@ FILES = 3
 def land_feed(spark: SparkSession, sf_dir: str) -> tuple[str, DataFrame, DataFrame]:
     """Write the incidents in time order as separate deliveries, plus repeats.
 
-    Every third event is delivered twice, once in each of two files. Returns the
-    folder, the history table and its engineered form.
+    Every third event is delivered twice. Returns the folder, the history table and
+    its engineered form.
     """
     path = scratch_path(spark, "feed")
     raw = raw_incidents(spark, sf_dir)

@@ -19,7 +19,7 @@ from roadpulse.plans import oracle as o
 from roadpulse.plans.base import engineered, raw_incidents, six
 from roadpulse.plans.registry import query
 from roadpulse.plans.stream_queries import _finish, _stream, land_feed
-from roadpulse.session import prepare, scratch_path, settle
+from roadpulse.session import concurrently, prepare, scratch_path, settle
 from roadpulse.streaming import jobs
 
 _GRAMS = f"""words AS (SELECT doc_id, concat(' ', unnest(regexp_extract_all(lower(text), '{o.BLANK_FREE}')), ' ') AS w
@@ -102,7 +102,8 @@ def heldout_scorecard(spark: SparkSession, sf_dir: str) -> DataFrame:
 def cross_validation(spark: SparkSession, sf_dir: str) -> DataFrame:
     """The three schemes for the closure model, two folds each."""
     rows = settle(engineered(spark, sf_dir), "engineered")
-    parts = [validation.cross_validate(rows, "closure", s, 2, QUICK) for s in ("random", "temporal", "group")]
+    parts = concurrently(spark, *[
+        lambda s=s: validation.cross_validate(rows, "closure", s, 2, QUICK) for s in ("random", "temporal", "group")])
     return parts[0].unionByName(parts[1]).unionByName(parts[2])
 
 

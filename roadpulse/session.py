@@ -4,7 +4,10 @@ from __future__ import annotations
 
 import tempfile
 import uuid
+from collections.abc import Callable
+from concurrent.futures import ThreadPoolExecutor
 
+from pyspark import inheritable_thread_target
 from pyspark.sql import DataFrame, SparkSession
 
 SESSION_DEFAULTS = {
@@ -60,3 +63,13 @@ def settle(df: DataFrame, label: str = "table") -> DataFrame:
 def estimated_bytes(df: DataFrame) -> int:
     """The optimizer's size estimate of ``df``; nothing is executed."""
     return int(str(df._jdf.queryExecution().optimizedPlan().stats().sizeInBytes()))
+
+
+def concurrently(spark: SparkSession, *tasks: Callable[[], object]) -> list:
+    """Run independent jobs at the same time, results in order.
+
+    Model fits are chains of short jobs; overlapping them keeps the executors busy.
+    """
+    with ThreadPoolExecutor(max_workers=max(len(tasks), 1)) as pool:
+        running = [pool.submit(inheritable_thread_target(spark)(task)) for task in tasks]
+        return [r.result() for r in running]

@@ -76,7 +76,7 @@ def cycle_columns() -> dict[str, Column]:
 def holiday_gap(start: Column, city: CityConfig = DEFAULT_CITY) -> Column:
     """Whole days between the local date and the closest holiday, capped."""
     day = F.to_date(to_local(start, city))
-    calendar = F.array(*[F.lit(d).cast("date") for d in city.holidays])
+    calendar = F.expr("array(" + ", ".join(f"DATE'{d}'" for d in city.holidays) + ")")
     gap = F.array_min(F.transform(calendar, lambda h: F.abs(F.datediff(day, h))))
     cap = F.lit(city.holiday_cap_days)
     return F.least(F.coalesce(gap, cap), cap)

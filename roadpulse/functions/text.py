@@ -20,12 +20,11 @@ def word_count(text: Column) -> Column:
     return F.size(words(text))
 
 
-def mentions(lowered: Column, substrings: tuple[str, ...]) -> Column:
+def mentions(column: str, substrings: tuple[str, ...]) -> Column:
     """1 when any literal substring occurs (substring, not word, semantics)."""
-    hit = F.lit(False)
-    for part in substrings:
-        hit = hit | F.contains(lowered, F.lit(part))
-    return F.when(hit, 1).otherwise(0)
+    quoted = [part.replace("\\", "\\\\").replace("'", "\\'") for part in substrings]
+    hits = " OR ".join(f"contains(`{column}`, '{part}')" for part in quoted)
+    return F.expr(f"CASE WHEN {hits} THEN 1 ELSE 0 END")
 
 
 def word_char_grams(text: Column, sizes: tuple[int, ...] = (3, 4)) -> Column:

@@ -81,8 +81,10 @@ def station_cells(directory: DataFrame, city: CityConfig = DEFAULT_CITY,
         alive = alive.withColumn("_d", geo.haversine_km(
             centre_lat, centre_lon, F.col("latitude"), F.col("longitude"), city))
         best = alive.groupBy("_row", "_col").agg(F.min("_d").alias("_best"))
-        alive = settle(alive.join(best, ["_row", "_col"]).where(
-            F.col("_d") <= F.col("_best") + F.lit(2 * reach)).drop("_best", "_d"), "cells")
+        alive = alive.join(best, ["_row", "_col"]).where(
+            F.col("_d") <= F.col("_best") + F.lit(2 * reach)).drop("_best", "_d")
+        if levels > 2:  # many stations: each level reads the previous one twice
+            alive = settle(alive, "cells")
     station = F.struct("police_station", "zone", "latitude", "longitude")
     inside = alive.groupBy((F.col("_row") * per_axis + F.col("_col")).alias("cell")).agg(
         F.collect_list(station).alias("candidates"))

@@ -110,12 +110,9 @@ def add_text(df: DataFrame, city: CityConfig = DEFAULT_CITY, source: str = "desc
         "desc_word_count": text.word_count(F.col(TEXT_COLUMN)),
         "_low": F.lower(TEXT_COLUMN),
     })
-    df = df.withColumns({flag: text.mentions(F.col("_low"), parts)
+    df = df.withColumns({flag: text.mentions("_low", parts)
                          for flag, parts in city.keywords.items()}).drop("_low")
-    total = F.lit(0)
-    for flag in city.keywords:
-        total = total + F.col(flag)
-    return df.withColumn("kw_total", total)
+    return df.withColumn("kw_total", F.expr(" + ".join(f"`{flag}`" for flag in city.keywords)))
 
 
 def add_derived(df: DataFrame, city: CityConfig = DEFAULT_CITY) -> DataFrame:

@@ -19,7 +19,7 @@ from roadpulse.plans import oracle as o
 from roadpulse.plans.base import engineered, raw_incidents, six
 from roadpulse.plans.registry import query
 from roadpulse.plans.stream_queries import _finish, _stream, land_feed
-from roadpulse.session import concurrently, prepare, scratch_path, settle
+from roadpulse.session import concurrently, prepare, scratch_path, settle, spread
 from roadpulse.streaming import jobs
 
 _GRAMS = f"""words AS (SELECT doc_id, concat(' ', unnest(regexp_extract_all(lower(text), '{o.BLANK_FREE}')), ' ') AS w
@@ -32,7 +32,7 @@ _GRAMS = f"""words AS (SELECT doc_id, concat(' ', unnest(regexp_extract_all(lowe
 
 
 def _documents(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return prepare(spark).read.parquet(f"{sf_dir}/documents.parquet").select("doc_id", "text")
+    return spread(prepare(spark).read.parquet(f"{sf_dir}/documents.parquet").select("doc_id", "text"))
 
 
 @query("text_vocabulary", "WITH " + _GRAMS + " SELECT term, tf, df FROM vocab")
@@ -132,7 +132,7 @@ def tuned_parameters(spark: SparkSession, sf_dir: str) -> DataFrame:
 @query("stream_forecasts", None)
 def stream_forecasts(spark: SparkSession, sf_dir: str) -> DataFrame:
     """A saved and reloaded forecaster scoring new arrivals of a stream."""
-    path, history, rows = land_feed(spark, sf_dir)
+    path, history, rows = land_feed(spark, sf_dir, files=1)
     fitted = Forecaster.fit(settle(rows, "engineered"), features.CoordinateMedians.fit(history), QUICK)
     home = scratch_path(spark, "forecaster")
     fitted.save(spark, home)

@@ -257,7 +257,7 @@ _ACTIVE_NOW = f"act AS MATERIALIZED (SELECT * FROM feed WHERE start_datetime <=
 def _board(spark: SparkSession, sf_dir: str) -> tuple[DataFrame, DataFrame]:
     table = settle(live_feed(spark, sf_dir), "feed")
     active = feed.active_at(table, _instant(INSTANT))
-    log = orders(spark, sf_dir).where(F.col("issued_at_ist") <= "2024-01-10 18:30:00")
+    log = settle(orders(spark, sf_dir), "orders").where(F.col("issued_at_ist") <= "2024-01-10 18:30:00")
     return active, log
 
 

@@ -17,7 +17,7 @@ from roadpulse.streaming.refresh import PriorStore
 FILES = 3
 
 
-def land_feed(spark: SparkSession, sf_dir: str) -> tuple[str, DataFrame, DataFrame]:
+def land_feed(spark: SparkSession, sf_dir: str, files: int = FILES) -> tuple[str, DataFrame, DataFrame]:
     """Write the incidents in time order as separate deliveries, plus repeats.
 
     Every third event is delivered twice. Returns the folder, the history table and
@@ -27,8 +27,8 @@ def land_feed(spark: SparkSession, sf_dir: str) -> tuple[str, DataFrame, DataFra
     raw = raw_incidents(spark, sf_dir)
     history = settle(raw, "history")
     day = F.dayofmonth("start_datetime")
-    for part in range(FILES):
-        share = history.where(F.coalesce(F.floor((day - 1) / F.lit(11)), F.lit(0)) == part)
+    for part in range(files):
+        share = history.where(F.coalesce(F.floor((day - 1) * files / F.lit(31)), F.lit(0)) == part)
         repeats = share.where(F.substring("id", 4, 20).cast("bigint") % 3 == 0)
         share.unionByName(repeats).coalesce(1).write.mode("append").parquet(path)
     return path, history, features.engineer(history)

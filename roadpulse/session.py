@@ -60,6 +60,18 @@ def settle(df: DataFrame, label: str = "table") -> DataFrame:
     return spark.read.schema(df.schema).parquet(path)
 
 
+def spread(df: DataFrame) -> DataFrame:
+    """Deal rows to all cores when the input arrives in fewer pieces than there are.
+
+    For work that is heavy per row (text): one large row group would otherwise keep
+    a single core busy. Inputs with enough splits pass through unchanged.
+    """
+    cores = df.sparkSession.sparkContext.defaultParallelism
+    if df.isStreaming or df.rdd.getNumPartitions() >= cores:
+        return df
+    return df.repartition(cores)
+
+
 def estimated_bytes(df: DataFrame) -> int:
     """The optimizer's size estimate of ``df``; nothing is executed."""
     return int(str(df._jdf.queryExecution().optimizedPlan().stats().sizeInBytes()))

@@ -18,7 +18,7 @@ from roadpulse.operators import dispatch, evaluate, features
 from roadpulse.plans import oracle as o
 from roadpulse.plans.base import engineered, raw_incidents, six
 from roadpulse.plans.registry import query
-from roadpulse.plans.stream_queries import _finish, _stream, land_feed
+from roadpulse.plans.stream_queries import feed_stream, history_tables, replay
 from roadpulse.session import concurrently, prepare, scratch_path, settle, spread
 from roadpulse.streaming import jobs
 
@@ -132,13 +132,13 @@ def tuned_parameters(spark: SparkSession, sf_dir: str) -> DataFrame:
 @query("stream_forecasts", None)
 def stream_forecasts(spark: SparkSession, sf_dir: str) -> DataFrame:
     """A saved and reloaded forecaster scoring new arrivals of a stream."""
-    path, history, rows = land_feed(spark, sf_dir, files=1)
+    history, rows = history_tables(spark, sf_dir)
     fitted = Forecaster.fit(settle(rows, "engineered"), features.CoordinateMedians.fit(history), QUICK)
-    home = scratch_path(spark, "forecaster")
+    home, path, out, checkpoint = (scratch_path(spark, n) for n in ("forecaster", "feed", "orders", "checkpoint"))
     fitted.save(spark, home)
     forecaster = Forecaster.load(spark, home)
     cells = dispatch.station_cells(dispatch.station_directory(rows))
-    out = scratch_path(spark, "orders")
-    _finish(jobs.start_orders(jobs.arrivals(_stream(spark, path, history)), forecaster.forecast,
-                              lambda: cells, out, scratch_path(spark, "cp"), per_tick=15))
+    arrived = jobs.arrivals(feed_stream(history, path))
+    replay(history, path, lambda: jobs.start_orders(
+        arrived, forecaster.forecast, lambda: cells, out, checkpoint, per_tick=15), deliveries=1)
     return spark.read.parquet(out).select("order_id", "police_station", "impact_score", "severity_band", "manpower")

@@ -2,55 +2,66 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, SparkSession, functions as F
+from pyspark.sql import DataFrame, SparkSession, functions as F, types as T
+from pyspark.sql.streaming import StreamingQuery
 
-from roadpulse.operators import dispatch, feed, features
+from roadpulse.operators import feed, features
 from roadpulse.operators.recommend import recommend
 from roadpulse.plans import oracle as o
-from roadpulse.plans.base import engineered, raw_incidents, stamp
+from roadpulse.plans.base import raw_incidents, stamp
 from roadpulse.plans.registry import query
 from roadpulse.session import scratch_path, settle
 from roadpulse.sources import fixture, incidents as source
 from roadpulse.streaming import jobs
 from roadpulse.streaming.refresh import PriorStore
 
-FILES = 3
+DELIVERIES = 3
 
 
-def land_feed(spark: SparkSession, sf_dir: str, files: int = FILES) -> tuple[str, DataFrame, DataFrame]:
-    """Write the incidents in time order as separate deliveries, plus repeats.
+def history_tables(spark: SparkSession, sf_dir: str) -> tuple[DataFrame, DataFrame]:
+    """The incident table and its engineered form: what is known before the stream starts."""
+    raw = settle(raw_incidents(spark, sf_dir), "history")
+    return raw, features.engineer(raw)
 
-    Every third event is delivered twice. Returns the folder, the history table and
-    its engineered form.
-    """
-    path = scratch_path(spark, "feed")
-    raw = raw_incidents(spark, sf_dir)
-    history = settle(raw, "history")
-    day = F.dayofmonth("start_datetime")
-    for part in range(files):
-        share = history.where(F.coalesce(F.floor((day - 1) * files / F.lit(31)), F.lit(0)) == part)
-        repeats = share.where(F.substring("id", 4, 20).cast("bigint") % 3 == 0)
-        share.unionByName(repeats).coalesce(1).write.mode("append").parquet(path)
-    return path, history, features.engineer(history)
+
+def open_folder(spark: SparkSession, schema: T.StructType, path: str) -> None:
+    """A stream's folder must exist before its first delivery."""
+    spark.createDataFrame([], schema).write.mode("append").parquet(path)
 
 
-def _stream(spark: SparkSession, path: str, history: DataFrame) -> DataFrame:
-    raw = source.read_stream(spark, path, schema=history.schema, files_per_trigger=1)
+def feed_stream(history: DataFrame, path: str) -> DataFrame:
+    open_folder(history.sparkSession, history.schema, path)
+    raw = source.read_stream(history.sparkSession, path, schema=history.schema)
     return jobs.engineered_stream(raw, features.CoordinateMedians.fit(history))
 
 
-def _finish(query_handle) -> None:
-    query_handle.awaitTermination()
+def replay(history: DataFrame, path: str, *start, deliveries: int = DELIVERIES) -> None:
+    """Deliver the incidents in time order and let the queries catch up each time.
+
+    Every third event is delivered twice. A query restarts from its checkpoint for
+    each delivery, which makes one micro-batch of however many files it has.
+    """
+    day = F.dayofmonth("start_datetime")
+    for part in range(deliveries):
+        share = history.where(F.coalesce(F.floor((day - 1) * deliveries / F.lit(31)), F.lit(0)) == part)
+        repeats = share.where(F.substring("id", 4, 20).cast("bigint") % 3 == 0)
+        share.unionByName(repeats).write.mode("append").parquet(path)
+        for begin in start:
+            begin().awaitTermination()
+
+
+def to_table(stream: DataFrame, path: str, checkpoint: str) -> StreamingQuery:
+    return (stream.writeStream.format("parquet").option("checkpointLocation", checkpoint)
+            .trigger(availableNow=True).start(path))
 
 
 @query("stream_dedup", o.with_tables(
     f"SELECT id, {o.tick('start_datetime')} AS tick_no FROM feed", "feed"))
 def stream_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
-    path, history, _ = land_feed(spark, sf_dir)
-    out = scratch_path(spark, "arrivals")
-    rows = jobs.arrivals(_stream(spark, path, history)).select("id", "tick_no")
-    _finish(rows.writeStream.format("parquet").option("checkpointLocation", scratch_path(spark, "cp"))
-            .trigger(availableNow=True).start(out))
+    history, _ = history_tables(spark, sf_dir)
+    path, out, checkpoint = (scratch_path(spark, n) for n in ("feed", "arrivals", "checkpoint"))
+    rows = jobs.arrivals(feed_stream(history, path)).select("id", "tick_no")
+    replay(history, path, lambda: to_table(rows, out, checkpoint))
     return spark.read.parquet(out)
 
 
@@ -60,10 +71,10 @@ def stream_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
  FROM feed GROUP BY 1""", "feed"))
 def stream_arrivals_per_tick(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Deliveries per tick, repeats included."""
-    path, history, _ = land_feed(spark, sf_dir)
-    out = scratch_path(spark, "arrival-counts")
-    counts = jobs.arrival_counts(_stream(spark, path, history))
-    _finish(jobs.start_upserts(counts, out, scratch_path(spark, "cp")))
+    history, _ = history_tables(spark, sf_dir)
+    path, out, checkpoint = (scratch_path(spark, n) for n in ("feed", "arrival-counts", "checkpoint"))
+    counts = jobs.arrival_counts(feed_stream(history, path))
+    replay(history, path, lambda: jobs.start_upserts(counts, out, checkpoint))
     return jobs.latest_rows(spark.read.parquet(out), "tick").select(stamp("tick").alias("tick"), "new_events")
 
 
@@ -72,16 +83,16 @@ def stream_arrivals_per_tick(spark: SparkSession, sf_dir: str) -> DataFrame:
  active_events, closures FROM cong""", "cong"))
 def stream_congestion(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Deduplicated arrivals land in a table; a second stream turns it into congestion."""
-    path, history, rows = land_feed(spark, sf_dir)
-    silver = scratch_path(spark, "silver")
-    first = jobs.arrivals(_stream(spark, path, history)).select(
+    history, rows = history_tables(spark, sf_dir)
+    path, silver, out, first, second = (
+        scratch_path(spark, n) for n in ("feed", "silver", "congestion", "checkpoint", "checkpoint"))
+    arrived = jobs.arrivals(feed_stream(history, path)).select(
         "id", "start_datetime", "event_cause", "corridor", "requires_road_closure", "is_peak", "duration_min")
-    _finish(first.writeStream.format("parquet").option("checkpointLocation", scratch_path(spark, "cp"))
-            .trigger(availableNow=True).start(silver))
-    events = source.read_stream(spark, silver, schema=first.schema)
-    lived = feed.add_lifetime(events, feed.cause_priors(rows))
-    out = scratch_path(spark, "congestion")
-    _finish(jobs.start_upserts(jobs.congestion_stream(lived), out, scratch_path(spark, "cp")))
+    open_folder(spark, arrived.schema, silver)
+    events = source.read_stream(spark, silver, schema=arrived.schema)
+    congested = jobs.congestion_stream(feed.add_lifetime(events, feed.cause_priors(rows)))
+    replay(history, path, lambda: to_table(arrived, silver, first),
+           lambda: jobs.start_upserts(congested, out, second))
     return jobs.latest_rows(spark.read.parquet(out), "tick", "corridor").withColumn("tick", stamp("tick"))
 
 
@@ -89,22 +100,28 @@ def stream_congestion(spark: SparkSession, sf_dir: str) -> DataFrame:
     """SELECT order_id, issued_at_ist, police_station, distance_km, impact_score, manpower FROM ord
  WHERE issued_at_ist IS NOT NULL""", "ord"))
 def stream_orders(spark: SparkSession, sf_dir: str) -> DataFrame:
-    path, history, rows = land_feed(spark, sf_dir)
-    store = PriorStore(spark, scratch_path(spark, "priors"))
+    history, rows = history_tables(spark, sf_dir)
+    path, priors, out, checkpoint = (scratch_path(spark, n) for n in ("feed", "priors", "orders", "checkpoint"))
+    store = PriorStore(spark, priors)
     store.publish(rows, features.CoordinateMedians.fit(history))
-    out = scratch_path(spark, "orders")
-    _finish(jobs.start_orders(
-        jobs.arrivals(_stream(spark, path, history)), lambda b: recommend(fixture.pseudo_forecasts(b)),
-        store.cells, out, scratch_path(spark, "cp")))
+    arrived = jobs.arrivals(feed_stream(history, path))
+    replay(history, path, lambda: jobs.start_orders(
+        arrived, lambda b: recommend(fixture.pseudo_forecasts(b)), store.cells, out, checkpoint))
     return spark.read.parquet(out).select(
         "order_id", "issued_at_ist", "police_station", "distance_km", "impact_score", "manpower")
 
 
-@query("stream_late_counts", None)
+@query("stream_late_counts", o.with_tables(
+    f"""SELECT (extract('day' FROM start_datetime) - 1) * 3 // 31 AS batch_id,
+ CAST(sum(CASE WHEN CAST(substr(id, 4) AS BIGINT) % 3 = 0 THEN 2 ELSE 1 END) AS BIGINT) AS rows,
+ CAST(0 AS BIGINT) AS late_rows,
+ {o.stamp(f"make_timestamp(max({o.tick('start_datetime')}) * {o.US30})")} AS max_tick FROM feed GROUP BY 1""",
+    "feed"))
 def stream_late_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
-    path, history, _ = land_feed(spark, sf_dir)
-    out = scratch_path(spark, "late")
-    _finish(jobs.start_late_counts(_stream(spark, path, history), out, scratch_path(spark, "cp")))
+    history, _ = history_tables(spark, sf_dir)
+    path, out, checkpoint = (scratch_path(spark, n) for n in ("feed", "late", "checkpoint"))
+    rows = feed_stream(history, path)
+    replay(history, path, lambda: jobs.start_late_counts(rows, out, checkpoint))
     return spark.read.parquet(out).select("batch_id", "rows", "late_rows", stamp("max_tick").alias("max_tick"))
 
 

@@ -13,7 +13,7 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession, functions as F
 
-PIECE_BYTES = 1 << 20
+PIECE_BYTES = 1 << 19
 NULL_ID = np.iinfo(np.int64).min  # a null doc_id sorts before every other id
 WORD = r"[^\x20\x09-\x0D]+"
 

@@ -123,9 +123,6 @@ class WordScheme(Scheme):
         out[own >= _ALONE] = rolling.slices(alone, alone + self.width)
         return out[:, None]
 
-    def window_keys(self, words, rolling, at, data):
-        return rolling.slices(at, at + self.width)[:, None]
-
     def buckets(self, first_word):
         return (first_word % np.uint64(self.n_buckets)).astype(np.int64)
 

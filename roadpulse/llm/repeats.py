@@ -23,17 +23,17 @@ from collections.abc import Iterator
 import numpy as np
 import pyarrow as pa
 import zstandard
-from pyspark.sql import Column, DataFrame, functions as F
+from pyspark.sql import DataFrame, functions as F
 
 from roadpulse.llm.common import NULL_ID, PIECE_BYTES, Rolling, flat_bytes, id_and_text, ids_of, pieces
 from roadpulse.session import settle
 
-FLUSH_RECORDS = 1 << 19
+FLUSH_RECORDS = 1 << 18
 ZIPPED_PIECE = PIECE_BYTES // 4  # pieces of compressed texts
 PACKED = "bucket int, payload binary, settled binary"
-FOUND = "doc_id bigint, th int, lo int, hi int, sure boolean"
+FOUND = "doc_id bigint, th int, lo int, hi int, route int"  # route: null where all windows repeat
 _FOUND_TYPES = pa.schema([("doc_id", pa.int64()), ("th", pa.int32()), ("lo", pa.int32()), ("hi", pa.int32()),
-                          ("sure", pa.bool_())])
+                          ("route", pa.int32())])
 
 
 class Scheme:
@@ -53,9 +53,6 @@ class Scheme:
         """Key words, shape (len(own), n): what the owners consist of."""
         raise NotImplementedError
 
-    def window_keys(self, symbols, rolling, at, data) -> np.ndarray:
-        raise NotImplementedError
-
     def buckets(self, first_word: np.ndarray) -> np.ndarray:
         raise NotImplementedError
 
@@ -85,13 +82,17 @@ def stretches(scheme: Scheme, data: np.ndarray, offsets: np.ndarray) -> dict[str
     return _records(scheme.keys(symbols, rolling, own[lo], data), rolling.slices(lo, hi + scheme.width), units, lo, hi)
 
 
-def single_windows(scheme: Scheme, data, offsets, rows, lo, hi) -> dict[str, np.ndarray]:
-    """Every window that starts in the given unit ranges of the rows."""
+def single_windows(scheme: Scheme, data, offsets, rows, lo, hi, route) -> dict[str, np.ndarray]:
+    """Every window that starts in the given unit ranges of the rows.
+
+    Equal windows had equal owners, so they meet in the bucket of their stretch; there
+    the content is the key. Neighbours travel together and cost little beside their hash.
+    """
     symbols, units = scheme.parse(data, offsets)
     counts = hi - lo + 1
     at = np.repeat(units[rows] + lo - (np.cumsum(counts) - counts), counts) + np.arange(counts.sum())
-    rolling = Rolling(symbols)
-    return _records(scheme.window_keys(symbols, rolling, at, data), rolling.slices(at, at + scheme.width), units, at, at)
+    content = Rolling(symbols).slices(at, at + scheme.width)
+    return _records(content[:, None][:, :0], content, units, at, at) | {"route": np.repeat(route, counts)}
 
 
 def _records(keys, content, units, lo, hi) -> dict[str, np.ndarray]:
@@ -107,8 +108,9 @@ _FIELDS = (("content", np.uint64), ("doc", np.int64), ("th", np.int32), ("lo", n
 
 def _pack(records: dict[str, np.ndarray], select) -> bytes:
     parts = [records[name][select] for name, _ in _FIELDS]
-    parts[1] = np.diff(parts[1], prepend=np.int64(0))  # wraps around, as does the sum that undoes it
     parts[4] = parts[4] - parts[3]
+    for i in (1, 3):  # differences wrap around, as do the sums that undo them
+        parts[i] = np.diff(parts[i], prepend=parts[i].dtype.type(0))
     keys = records["keys"][select]
     head = np.array([len(parts[0]), keys.shape[1]], np.int64).tobytes()
     return zstandard.ZstdCompressor(level=1).compress(
@@ -124,8 +126,8 @@ def _unpack(blob: bytes) -> dict[str, np.ndarray]:
     for name, kind in _FIELDS:
         out[name] = np.frombuffer(raw, kind, n, at)
         at += n * np.dtype(kind).itemsize
-    with np.errstate(over="ignore"):
-        out["doc"] = np.cumsum(out["doc"])
+    out["doc"] = np.cumsum(out["doc"])
+    out["lo"] = np.cumsum(out["lo"], dtype=np.int32)
     out["hi"] = out["hi"] + out["lo"]
     return out
 
@@ -140,9 +142,9 @@ def multikey_order(keys: np.ndarray, *ties: np.ndarray) -> np.ndarray:
     One word at a time, as multikey quicksort goes: only runs that are still equal are
     ordered by the next word.
     """
-    order = np.argsort(keys[:, 0], kind="stable")
-    columns = [*(keys[:, i] for i in range(1, keys.shape[1])), *ties]
-    first = keys[order, 0]
+    columns = [*(keys[:, i] for i in range(keys.shape[1])), *ties]
+    order = np.argsort(columns[0], kind="stable")
+    first = columns.pop(0)[order]
     equal = np.flatnonzero(first[1:] == first[:-1])
     if not len(equal):
         return order
@@ -174,9 +176,10 @@ def earliest(records: dict[str, np.ndarray]) -> tuple[np.ndarray, np.ndarray, np
     return order, (doc != doc[first]) | (lo != lo[first]), group
 
 
-def _found(records, select, sure: bool) -> pa.RecordBatch:
-    return pa.record_batch([pa.array(records[n][select]) for n in ("doc", "th", "lo", "hi")]
-                           + [pa.array(np.full(len(records["doc"][select]), sure))], schema=_FOUND_TYPES)
+def _found(records, select, route: np.ndarray | None = None) -> pa.RecordBatch:
+    columns = [pa.array(records[n][select]) for n in ("doc", "th", "lo", "hi")]
+    columns.append(pa.nulls(len(columns[0]), pa.int32()) if route is None else pa.array(route.astype(np.int32)))
+    return pa.record_batch(columns, schema=_FOUND_TYPES)
 
 
 def _send(scheme: Scheme, parts: list[dict]) -> Iterator[pa.RecordBatch]:
@@ -188,7 +191,7 @@ def _send(scheme: Scheme, parts: list[dict]) -> Iterator[pa.RecordBatch]:
         again = np.sort(order[repeat])
         out.append((int(records["doc"][again[0]]) & 1023, None, _pack(records | {"keys": records["keys"][:, :0]}, again)))
     kept = np.sort(order[~repeat])
-    bucket = scheme.buckets(records["keys"][kept, 0])
+    bucket = records["route"][kept] if "route" in records else scheme.buckets(records["keys"][kept, 0])
     by = np.argsort(bucket, kind="stable")
     bounds = np.flatnonzero(np.diff(bucket[by], prepend=-1, append=-1))
     for a, b in zip(bounds[:-1], bounds[1:]):
@@ -217,14 +220,14 @@ def _sender(scheme: Scheme, find, limit: int = PIECE_BYTES):
     return run
 
 
-def _receiver(look_closer: bool):
+def _receiver(scheme: Scheme | None):
     """Meet the records of a partition's buckets: repeats, and stretches to look at closer."""
     def run(batches):
         parts = []
         for batch in batches:
             for payload, settled in zip(batch.column(1), batch.column(2)):
                 if settled.is_valid:
-                    yield _found(_unpack(settled.as_py()), slice(None), True)
+                    yield _found(_unpack(settled.as_py()), slice(None))
                 if payload.is_valid:
                     parts.append(_unpack(payload.as_py()))
         if not parts:
@@ -232,8 +235,8 @@ def _receiver(look_closer: bool):
         records = _join(parts)
         order, repeat, group = earliest(records)
         if repeat.any():
-            yield _found(records, order[repeat], True)
-        if not look_closer:
+            yield _found(records, order[repeat])
+        if scheme is None:
             return
         keys = records["keys"][order]
         new_key = np.ones(len(order), bool)
@@ -242,17 +245,17 @@ def _receiver(look_closer: bool):
         contents = np.diff(group[np.flatnonzero(new_key)], append=group[-1] + 1)
         closer = ~repeat & (contents[of_key] > 1)
         if closer.any():
-            yield _found(records, order[closer], False)
+            yield _found(records, order[closer], scheme.buckets(keys[closer, 0]))
     return run
 
 
-def _meet(packed: DataFrame, look_closer: bool) -> DataFrame:
+def _meet(packed: DataFrame, scheme: Scheme | None) -> DataFrame:
     n = int(packed.sparkSession.conf.get("spark.sql.shuffle.partitions"))
-    return packed.repartition(n, "bucket").mapInArrow(_receiver(look_closer), FOUND)
+    return packed.repartition(2 * n, "bucket").mapInArrow(_receiver(scheme), FOUND)
 
 
-def _ranges(found: DataFrame, only: Column) -> DataFrame:
-    return found.where(only).groupBy("doc_id", "th").agg(F.collect_list(F.struct("lo", "hi")).alias("ranges")).select(
+def _ranges(found: DataFrame) -> DataFrame:
+    return found.groupBy("doc_id", "th").agg(F.collect_list(F.struct("lo", "hi", "route")).alias("ranges")).select(
         F.col("doc_id").alias("r_doc"), F.col("th").alias("r_th"), "ranges")
 
 
@@ -278,17 +281,17 @@ def texts_with_id(docs: DataFrame) -> DataFrame:
     return id_and_text(docs).select(F.coalesce("doc_id", F.lit(NULL_ID)).alias("doc_id"), F.hash("text").alias("th"), "text")
 
 
-def flat_ranges(column: pa.Array) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-    """(row, lo, hi) of a list-of-ranges column."""
+def flat_ranges(column: pa.Array) -> tuple[np.ndarray, ...]:
+    """(row, lo, hi, route) of a list-of-ranges column."""
     column = column.combine_chunks() if isinstance(column, pa.ChunkedArray) else column
     sizes = np.diff(column.offsets.to_numpy())
     values = column.flatten()
     row = np.repeat(np.arange(len(column)), np.where(column.is_valid().to_numpy(zero_copy_only=False), sizes, 0))
-    return row, values.field(0).to_numpy().astype(np.int64), values.field(1).to_numpy().astype(np.int64)
+    return row, *(values.field(i).fill_null(-1).to_numpy(zero_copy_only=False).astype(np.int64) for i in range(3))
 
 
 def repeated_ranges(docs: DataFrame, scheme: Scheme) -> DataFrame:
-    """(doc_id, th, lo, hi, sure): all windows starting in lo..hi repeat, where ``sure``."""
+    """(doc_id, th, lo, hi): all windows starting in lo..hi repeat."""
     texts = texts_with_id(docs)
 
     def first(piece):
@@ -298,25 +301,25 @@ def repeated_ranges(docs: DataFrame, scheme: Scheme) -> DataFrame:
         data, offsets = flat_bytes(inflate(piece.column(2)))
         return single_windows(scheme, data, offsets, *flat_ranges(piece.column(3)))
 
-    found = settle(_meet(texts.mapInArrow(_sender(scheme, first), PACKED), True), "stretches")
+    found = settle(_meet(texts.mapInArrow(_sender(scheme, first), PACKED), scheme), "stretches")
     small = texts.mapInArrow(_compressed, "doc_id bigint, th int, text binary")
-    closer = small.join(_ranges(found, ~F.col("sure")), (F.col("doc_id") == F.col("r_doc")) & (F.col("th") == F.col("r_th")))
+    closer = small.join(_ranges(found.where("route is not null")), (F.col("doc_id") == F.col("r_doc")) & (F.col("th") == F.col("r_th")))
     closer = closer.select("doc_id", "th", "text", "ranges")
-    singles = _meet(closer.mapInArrow(_sender(scheme, second, ZIPPED_PIECE), PACKED), False)
-    return found.where("sure").unionByName(singles)
+    singles = _meet(closer.mapInArrow(_sender(scheme, second, ZIPPED_PIECE), PACKED), None)
+    return found.where("route is null").unionByName(singles)
 
 
 def with_ranges(docs: DataFrame, found: DataFrame) -> DataFrame:
     """Every row's (doc_id, compressed text, repeated ranges)."""
     small = texts_with_id(docs).mapInArrow(_compressed, "doc_id bigint, th int, text binary")
-    joined = small.join(_ranges(found, F.lit(True)), (F.col("doc_id") == F.col("r_doc")) & (F.col("th") == F.col("r_th")), "left")
+    joined = small.join(_ranges(found), (F.col("doc_id") == F.col("r_doc")) & (F.col("th") == F.col("r_th")), "left")
     return joined.select(F.when(F.col("doc_id") != NULL_ID, F.col("doc_id")).alias("doc_id"), "text",
-                         F.coalesce("ranges", F.array().cast("array<struct<lo:int,hi:int>>")).alias("ranges"))
+                         F.coalesce("ranges", F.array().cast("array<struct<lo:int,hi:int,route:int>>")).alias("ranges"))
 
 
 def covered(ranges: pa.Array, units: np.ndarray, width: int) -> np.ndarray:
     """Mask of the units that some repeated window covers."""
-    row, lo, hi = flat_ranges(ranges)
+    row, lo, hi, _ = flat_ranges(ranges)
     change = np.zeros(int(units[-1]) + 1, np.int64)
     np.add.at(change, units[row] + lo, 1)
     np.add.at(change, units[row] + hi + width, -1)

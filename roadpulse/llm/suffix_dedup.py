@@ -59,12 +59,9 @@ class ByteScheme(Scheme):
         own[:n] = (least & _LOW).astype(np.int64)
         return own
 
-    def keys(self, symbols, rolling, at, data):
-        words = [_word(data, at + i) for i in range(0, self.lead - 7, 8)]
-        return np.stack(words or [rolling.slices(at, at + self.lead)], axis=1)
-
-    def window_keys(self, symbols, rolling, at, data):
-        return self.keys(symbols, rolling, at, data)[:, :1]
+    def keys(self, symbols, rolling, own, data):
+        words = [_word(data, own + i) for i in range(0, self.lead - 7, 8)]
+        return np.stack(words or [rolling.slices(own, own + self.lead)], axis=1)
 
     def buckets(self, first_word):
         return np.searchsorted(self.splitters, first_word, side="right")

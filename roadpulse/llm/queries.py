@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
-from roadpulse.llm import recompression, suffix_dedup
+from roadpulse.llm import mixing, packing, recompression, simhash, suffix_dedup
 from roadpulse.llm.common import documents
 
 QUERIES = {}
@@ -26,3 +26,20 @@ def op3_recompression(spark: SparkSession, sf_dir: str) -> DataFrame:
 def op4_suffix_array(spark: SparkSession, sf_dir: str) -> DataFrame:
     return suffix_dedup.remove_repeats(documents(spark, sf_dir)).select(
         "doc_id", "n_bytes", "n_removed", "n_spans", F.sha2("kept", 256).alias("kept_sha256"))
+
+
+@query
+def op1_best_fit_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return packing.pack(documents(spark, sf_dir))
+
+
+@query
+def op7_temperature_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Every source at most twice as often as the rarest-read one; whole epochs for all."""
+    return mixing.mix(documents(spark, sf_dir), repetition_limit=2.0).select(
+        "doc_id", "source", "n_tokens", "epoch", "block", "block_key", "doc_key")
+
+
+@query
+def op8_simhash(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return simhash.near_duplicates(documents(spark, sf_dir)).select("doc_id", "fingerprint", "component_id")

@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
-from roadpulse.llm import mixing, packing, recompression, simhash, suffix_dedup
+from roadpulse.llm import mixing, neighbours, packing, quality_rules, recompression, simhash, suffix_dedup, toxicity
 from roadpulse.llm.common import documents
 
 QUERIES = {}
@@ -43,3 +43,21 @@ def op7_temperature_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
 @query
 def op8_simhash(spark: SparkSession, sf_dir: str) -> DataFrame:
     return simhash.near_duplicates(documents(spark, sf_dir)).select("doc_id", "fingerprint", "component_id")
+
+
+@query
+def op2_cross_polytope(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return neighbours.nearest(spark.read.parquet(f"{sf_dir}/embeddings.parquet"), F.col("id") % 50 == 0)
+
+
+@query
+def op6_line_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return quality_rules.judge(documents(spark, sf_dir)).drop("clean_text")
+
+
+ORACLES["op6_line_rules"] = quality_rules.oracle()
+
+
+@query
+def op9_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return toxicity.score_documents(documents(spark, sf_dir), spark.read.parquet(f"{sf_dir}/labels.parquet"))

@@ -1,11 +1,13 @@
 """Operator 8: SimHash near-duplicates by deletion-variant signatures.
 
-Two fingerprints that differ in at most two bits agree, in one of two 32-bit halves, but
-for at most one bit. Every distinct fingerprint is indexed under its 64 one-wildcard
-variants (half, wildcard bit, the other 31 bits); an equality shuffle brings sharers of a
-variant together and pairs are verified on all 64 bits. Where more than ``CROWD``
-fingerprints share a variant no pairs are formed: its members are indexed under their
-2016 two-wildcard variants of the whole fingerprint. Sharers of such a variant differ
+Two fingerprints that differ in at most two bits agree in the low half but for at most one
+bit, or in the whole high half. Every distinct fingerprint is indexed under 33 variants: the
+low half with each bit as wildcard, and the high half. An equality shuffle brings sharers of
+a variant together; pairs are verified on all 64 bits and each is linked under one variant
+only. Where more than ``CROWD`` fingerprints share a variant no pairs are formed: members
+also have to agree in one of three pieces of the other half. Where that still leaves a
+crowd, its members are indexed under their 2016 two-wildcard variants of the whole
+fingerprint. Sharers of such a variant differ
 only in the two bits, so they all link, at most four share one, and a chain over them
 links them whole. Documents meet their fingerprint's component by a join; equal
 fingerprints (exact copies) are one node throughout.
@@ -27,8 +29,9 @@ from roadpulse.llm.common import id_and_text, pieces
 from roadpulse.llm.graph import components
 from roadpulse.session import settle
 
-CROWD = 16
+CROWD = 64
 _SEED = 42
+_HALF = np.uint64(0xFFFFFFFF)
 
 
 def _fingerprints(texts: list[bytes]) -> np.ndarray:
@@ -65,53 +68,76 @@ def fingerprints(docs: DataFrame) -> DataFrame:
     return id_and_text(docs).mapInArrow(run, "doc_id bigint, fp bigint")
 
 
-def _by_variant(batches, pair_up):
-    parts = [(b.column(0).to_numpy(), b.column(1).to_numpy()) for b in batches if b.num_rows]
-    if not parts:
-        return
-    key, fp = (np.concatenate(c) for c in zip(*parts))
-    order = np.lexsort((fp, key))
-    key, fp = key[order], fp[order]
-    start = np.flatnonzero(np.diff(key, prepend=key[0] - 1))
-    yield from pair_up(key, fp, start, np.diff(start, append=len(key)))
-
-
 def _links(a, b, crowded):
     return pa.record_batch([pa.array(a), pa.array(b), pa.array(np.full(len(a), crowded))], names=["a", "b", "crowded"])
 
 
-def _pairs(key, fp, start, size):
-    """Verified pairs of each small group, and the members of crowded ones."""
-    for step in range(1, CROWD):
-        left = np.flatnonzero(key[:-step] == key[step:]) if step < len(key) else np.zeros(0, int)
-        small = size[np.searchsorted(start, left, side="right") - 1] <= CROWD
-        left = left[small]
-        a, b = fp[left], fp[left + step]
-        near = np.bitwise_count((a ^ b).view(np.uint64)) <= 2
-        if near.any():
-            yield _links(a[near], b[near], False)
-    crowd = np.repeat(size > CROWD, size)
-    if crowd.any():
-        members = np.unique(fp[crowd])
-        yield _links(members, members, True)
-
-
-def _chains(key, fp, start, size):
-    same = np.flatnonzero((key[:-1] == key[1:]) & (fp[:-1] != fp[1:]))
-    if len(same):
-        yield _links(fp[same], fp[same + 1], False)
+def _variant_of(a: np.ndarray, b: np.ndarray) -> np.ndarray:
+    """The one variant under which a pair within two bits is linked (it may share more)."""
+    low = (a ^ b).view(np.uint64) & _HALF
+    place = np.bitwise_count((low & (~low + np.uint64(1))) - np.uint64(1)).astype(np.int64)
+    return np.where(low == 0, 0, np.where(np.bitwise_count(low) == 1, place, 32))
+
+
+def _piece_of(a: np.ndarray, b: np.ndarray, free: np.ndarray) -> np.ndarray:
+    """The first of the three pieces of the half at bit ``free`` in which the two agree."""
+    x = ((a ^ b).view(np.uint64) >> free) & _HALF
+    return np.where((x & np.uint64(0x7FF)) == 0, 0, np.where((x >> np.uint64(11) & np.uint64(0x7FF)) == 0, 1, 2))
 
 
-def _one_wildcard(batches):
-    bit = np.uint64(1) << np.arange(64, dtype=np.uint64)
-    half = np.where(np.arange(64) < 32, np.uint64(0xFFFFFFFF), np.uint64(0xFFFFFFFF00000000))
+def _variants(batches):
+    """33 keys a fingerprint: the low half under each wildcard bit, and the high half whole."""
+    bit = np.uint64(1) << np.arange(32, dtype=np.uint64)
+    number = np.arange(33, dtype=np.uint64) << np.uint64(32)
     for batch in batches:
         fps = batch.column(0).to_numpy().view(np.uint64)
         for part in np.array_split(fps, max(1, len(fps) // 20000)):
-            seen = part[:, None] & half & ~bit
-            # the 31 free bits and the wildcard's number, in one 64-bit key
-            key = np.where(np.arange(64) < 32, seen, seen >> np.uint64(32)) | (np.arange(64, dtype=np.uint64) << np.uint64(32))
-            yield pa.record_batch([pa.array(key.ravel().view(np.int64)), pa.array(np.repeat(part, 64).view(np.int64))], names=["key", "fp"])
+            key = np.concatenate([part[:, None] & _HALF & ~bit, part[:, None] >> np.uint64(32)], axis=1) | number
+            yield pa.record_batch([pa.array(key.ravel().view(np.int64)), pa.array(np.repeat(part, 33).view(np.int64))], names=["key", "fp"])
+
+
+def _pieces(batches):
+    """Three keys for a member of a crowded variant: a piece of the half that is still free."""
+    for batch in batches:
+        fp, key = batch.column(0).to_numpy().view(np.uint64), batch.column(1).to_numpy().view(np.uint64)
+        half = (fp >> _free_bit(key)) & _HALF
+        # variant (39 bits), piece (2), its value (11)
+        keys = [(key << np.uint64(13)) | (np.uint64(i) << np.uint64(11)) | (half >> np.uint64(11 * i) & np.uint64(0x7FF)) for i in range(3)]
+        yield pa.record_batch([pa.array(np.concatenate(keys).view(np.int64)), pa.array(np.tile(fp, 3).view(np.int64))], names=["key", "fp"])
+
+
+def _free_bit(key: np.ndarray) -> np.ndarray:
+    return np.where(key >> np.uint64(32) == 32, np.uint64(0), np.uint64(32))
+
+
+def _meet(second: bool):
+    """Groups of equal key: the verified links of small ones, the members of crowded ones."""
+    def run(batches):
+        parts = [(b.column(0).to_numpy(), b.column(1).to_numpy()) for b in batches if b.num_rows]
+        if not parts:
+            return
+        key, fp = (np.concatenate(c) for c in zip(*parts))
+        order = np.lexsort((fp, key))
+        key, fp = key[order], fp[order]
+        start = np.flatnonzero(np.concatenate([[True], key[1:] != key[:-1]]))
+        size = np.diff(start, append=len(key))
+        after = np.repeat(start + size, size) - np.arange(len(key))  # rows left in the group, this one included
+        left = np.flatnonzero((after > 1) & np.repeat(size <= CROWD, size))
+        step = 1
+        while len(left):
+            a, b, k = fp[left], fp[left + step], key[left].view(np.uint64)
+            variant = (k >> np.uint64(13) if second else k) >> np.uint64(32)
+            good = (np.bitwise_count((a ^ b).view(np.uint64)) <= 2) & (a != b) & (_variant_of(a, b) == variant)
+            if second:
+                good &= _piece_of(a, b, _free_bit(k >> np.uint64(13))) == (k >> np.uint64(11) & np.uint64(3))
+            if good.any():
+                yield _links(a[good], b[good], False)
+            step += 1
+            left = left[after[left] > step]
+        crowd = np.repeat(size > CROWD, size)
+        if crowd.any():
+            yield _links(fp[crowd], key[crowd], True)
+    return run
 
 
 def _two_wildcards(batches):
@@ -125,8 +151,8 @@ def _two_wildcards(batches):
                                    pa.array(np.tile(pair, len(part)).astype(np.int16))], names=["rest", "fp", "pair"])
 
 
-def _chains_of_pairs(batches):
-    """As ``_chains``, for keys made of the other 62 bits and the wildcard pair."""
+def _chains(batches):
+    """Sharers of a two-wildcard variant all link: a chain over at most four."""
     parts = [[c.to_numpy() for c in b.columns] for b in batches if b.num_rows]
     if not parts:
         return
@@ -141,13 +167,13 @@ def _chains_of_pairs(batches):
 def links(fps: DataFrame) -> DataFrame:
     """(a, b): links of distinct fingerprints that connect all within two bits."""
     n = int(fps.sparkSession.conf.get("spark.sql.shuffle.partitions"))
-    schema = "a bigint, b bigint, crowded boolean"
-    one = fps.mapInArrow(_one_wildcard, "key bigint, fp bigint").repartition(n, "key")
-    first = settle(one.mapInArrow(lambda it: _by_variant(it, _pairs), schema), "links")
-    crowd = first.where("crowded").select(F.col("a").alias("fp")).distinct()
+    schema, keyed = "a bigint, b bigint, crowded boolean", "key bigint, fp bigint"
+    first = settle(fps.mapInArrow(_variants, keyed).repartition(n, "key").mapInArrow(_meet(False), schema), "links")
+    closer = first.where("crowded").select("a", "b").mapInArrow(_pieces, keyed).repartition(n, "key")
+    second = settle(closer.mapInArrow(_meet(True), schema), "links")
+    crowd = second.where("crowded").select(F.col("a").alias("fp")).distinct()
     two = crowd.mapInArrow(_two_wildcards, "rest bigint, fp bigint, pair smallint").repartition(n, "rest", "pair")
-    second = two.mapInArrow(_chains_of_pairs, schema)
-    return first.where("not crowded").unionByName(second).select("a", "b")
+    return first.unionByName(second).where("not crowded").unionByName(two.mapInArrow(_chains, schema)).select("a", "b")
 
 
 def near_duplicates(docs: DataFrame) -> DataFrame:

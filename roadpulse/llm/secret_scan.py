@@ -35,7 +35,8 @@ ASSIGN = re.compile(r"""(?i:(password|passwd|secret|token|api_?key))["']?\x20*[:
 ACCESS = re.compile(r"AKIA[A-Z0-9]+")
 HEX = re.compile(r"[0-9a-f]{16,}")  # maximal runs, as [0-9a-f]+ with at least 16
 _KEYWORD = re.compile(r"(?i)passw|secret|token|api_?key|credential|private|bearer|auth")
-_NAMED = re.compile(r"(?i)password|passwd|secret|token|api_?key")
+NAMES = ("password", "passwd", "secret", "token", "apikey", "api_key", "ı", "ſ", "K")  # and letters that fold to i, s, k
+_HEX_RUN, _HEX_MAP = b"x" * 16, bytes(120 if chr(i) in "0123456789abcdef" else 32 for i in range(256))
 _RUN = re.compile(r"(.)\1+")
 EDGES = "\"'`,;()[]{}<>.!?:"
 CLASSES = ("word", "keyword", "assigner", "keyword assigner", "number", "mixed", "edge")
@@ -43,12 +44,13 @@ CLASSES = ("word", "keyword", "assigner", "keyword assigner", "number", "mixed",
 
 def base_spans(text: str) -> list[tuple[int, int, str]]:
     """(start, end, kind) by start, then kind as listed."""
-    out = []
-    if _NAMED.search(text):
+    out, low = [], text.lower()
+    if any(name in low for name in NAMES):
         out += [(m.start(), m.end(), "assign") for m in ASSIGN.finditer(text) if len(m[2]) >= 12]
     if "AKIA" in text:
         out += [(m.start(), m.end(), "access") for m in ACCESS.finditer(text) if m.end() - m.start() >= 18]
-    out += [(m.start(), m.end(), "hex") for m in HEX.finditer(text)]
+    if _HEX_RUN in text.encode("utf-8", "replace").translate(_HEX_MAP):
+        out += [(m.start(), m.end(), "hex") for m in HEX.finditer(text)]
     return sorted(out, key=lambda s: (s[0], KINDS.index(s[2])))
 
 
@@ -103,7 +105,7 @@ class _Numbers(dict):
         self.field = field
 
     def __missing__(self, token: str) -> int:
-        self[token] = at = self.field.add(token, len(self))
+        self[token] = at = self.field.add(token)
         return at
 
 
@@ -118,17 +120,31 @@ class Field:
         self._reset()
 
     def _reset(self):
-        self.index = _Numbers(self)
+        self.index, self.plain, self.used = _Numbers(self), {}, 0
         self.unary, self.classes = np.zeros((1024, 3)), np.zeros(1024, np.int8)
 
     def __getstate__(self):
-        return {k: v for k, v in self.__dict__.items() if k not in ("index", "unary", "classes")}
+        return {k: v for k, v in self.__dict__.items() if k not in ("index", "plain", "unary", "classes")}
 
     def __setstate__(self, state):
         self.__dict__.update(state)
         self._reset()
 
-    def add(self, token: str, at: int) -> int:
+    def add(self, token: str) -> int:
+        core = token.strip(EDGES)
+        if core.isalpha() and core[1:].islower() and not _KEYWORD.search(core):
+            # plain words with equal features share a row
+            n = len(core)
+            alike = core[0].isupper(), min(n // 4, 10), min(10 * len(set(core)) // n, 9) if n >= 12 else -1, min(n, 3)
+            row = self.plain.get(alike)
+            if row is None:
+                row = self.plain[alike] = self._row(token)
+            return row
+        return self._row(token)
+
+    def _row(self, token: str) -> int:
+        at = self.used
+        self.used += 1
         if at == len(self.classes):
             self.unary = np.concatenate([self.unary, np.zeros_like(self.unary)])
             self.classes = np.concatenate([self.classes, np.zeros_like(self.classes)])

@@ -4,7 +4,9 @@ Tokens (runs without white space) are tagged begin, inside or outside of a secre
 score sums weights of the token's shape, length, character mix and prefix, of the classes of
 the tokens before and after it, and of the file's own features; tag pairs add transition
 weights; Viterbi decodes. The field is trained here, by exact gradients of the
-log-likelihood, on a bounded hash sample of rows whose tags come from the base patterns.
+log-likelihood, on a bounded hash sample of rows whose tags come from the base patterns; each
+window with a secret is learned once more with the secret's signs redrawn from all letters
+and digits and without the words that announce it, so that its shape alone can tell.
 
 Most tokens are settled before decoding: where "outside" beats the other tags by more than
 any transitions could win back, it is on the best path. Viterbi runs on what lies between.
@@ -17,6 +19,8 @@ need no care: a row's result depends on its text alone.
 from __future__ import annotations
 
 import re
+import string
+import zlib
 
 import numpy as np
 import pandas as pd
@@ -31,12 +35,13 @@ CACHE_ENTRIES = 150_000
 O, B, I = 0, 1, 2
 KINDS = ("assign", "access", "hex", "crf")
 # The base patterns and their shortest matches.
-ASSIGN = re.compile(r"""(?i:(password|passwd|secret|token|api_?key))["']?\x20*[:=]\x20*["']?([A-Za-z0-9+/_.=-]+)""")
+ASSIGN = re.compile(r"""(?ai:(password|passwd|secret|token|api_?key))["']?\x20*[:=]\x20*["']?([A-Za-z0-9+/_.=-]+)""")
 ACCESS = re.compile(r"AKIA[A-Z0-9]+")
 HEX = re.compile(r"[0-9a-f]{16,}")  # maximal runs, as [0-9a-f]+ with at least 16
 _KEYWORD = re.compile(r"(?i)passw|secret|token|api_?key|credential|private|bearer|auth")
-NAMES = ("password", "passwd", "secret", "token", "apikey", "api_key", "ı", "ſ", "K")  # and letters that fold to i, s, k
+NAMES = ("password", "passwd", "secret", "token", "apikey", "api_key")
 _HEX_RUN, _HEX_MAP = b"x" * 16, bytes(120 if chr(i) in "0123456789abcdef" else 32 for i in range(256))
+_DRAWN = string.ascii_letters + string.digits
 _RUN = re.compile(r"(.)\1+")
 EDGES = "\"'`,;()[]{}<>.!?:"
 CLASSES = ("word", "keyword", "assigner", "keyword assigner", "number", "mixed", "edge")
@@ -247,8 +252,19 @@ def tagged_windows(text: str, plain: bool) -> list[tuple[list[str], list[int], i
             for c in sorted(set(centres))[:WINDOWS_A_ROW]]
 
 
+def redrawn(token: str) -> str:
+    """The token with the letters and digits after its last assigner drawn anew, by hash."""
+    at = max(token.rfind("="), token.rfind(":")) + 1
+    if at == len(token.rstrip(EDGES)):
+        at = 0
+    draw = np.random.default_rng(zlib.crc32(token.encode())).integers(0, len(_DRAWN), len(token)).tolist()
+    return token[:at] + "".join(_DRAWN[d] if c.isalnum() else c for c, d in zip(token[at:], draw))
+
+
 def fit(windows: list[tuple[list[str], list[int], int]]) -> Field:
     """Maximum-likelihood weights by gradient steps with adaptive rates."""
+    windows = windows + [([redrawn(t) if g else "the" if token_class(t) in (1, 2, 3) else t for t, g in zip(tokens, gold)], gold, kind)
+                         for tokens, gold, kind in windows if any(gold)]
     names: dict[str, int] = {}
     length, width = 2 * WINDOW + 1, 10
     n = len(windows)

@@ -245,7 +245,7 @@ def score_documents(docs: DataFrame, labels: DataFrame) -> DataFrame:
     """doc_id, held_out, score and predicted for every row of ``docs``."""
     score = scorer(docs, labels)
     key = F.col("doc_id").cast("bigint")
-    rows = docs.select(key.alias("doc_id"), (F.crc32(key.cast("string")) % 5 == 0).alias("held_out"),
+    rows = docs.select(key.alias("doc_id"), F.coalesce(F.crc32(key.cast("string")) % 5 == 0, F.lit(False)).alias("held_out"),
                        score(F.coalesce("text", F.lit(""))).alias("score"))
     return rows.withColumn("predicted", F.when(F.col("score") >= 0.5, 1).otherwise(0))
 

@@ -130,11 +130,7 @@ def as_requests(df: DataFrame, city: CityConfig = DEFAULT_CITY) -> DataFrame:
 
 def local_stamp(instant: Column, city: CityConfig = DEFAULT_CITY, sep: str = " ") -> Column:
     """Local time as text, with six decimals only when there is a fraction."""
-    local = temporal.to_local(instant, city)
-    gap = "'T'" if sep == "T" else sep
-    whole = f"yyyy-MM-dd{gap}HH:mm:ss"
-    return F.when(F.pmod(F.unix_micros(instant), F.lit(1_000_000)) == 0,
-                  F.date_format(local, whole)).otherwise(F.date_format(local, whole + ".SSSSSS"))
+    return temporal.local_text(instant, sep, city)
 
 
 def dispatch_orders(forecast: DataFrame, cells: DataFrame, per_axis: int,

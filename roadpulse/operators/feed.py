@@ -88,7 +88,7 @@ def without_issued(new: DataFrame, orders: DataFrame) -> DataFrame:
 
 
 def events_per_day(feed: DataFrame, city: CityConfig = DEFAULT_CITY) -> DataFrame:
-    day = F.to_date(temporal.to_local(F.col("start_datetime"), city))
+    day = temporal.local_date(F.col("start_datetime"), city)
     return started(feed).groupBy(day.alias("date")).agg(F.count(F.lit(1)).alias("events"))
 
 

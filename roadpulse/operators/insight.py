@@ -24,7 +24,7 @@ def closure_percent_by_cause(df: DataFrame) -> DataFrame:
 
 
 def events_by_hour(df: DataFrame, city: CityConfig = DEFAULT_CITY) -> DataFrame:
-    hour = F.hour(temporal.to_local(F.col("start_datetime"), city))
+    hour = temporal.local_hour(F.col("start_datetime"), city)
     return (df.where(F.col("start_datetime").isNotNull()).groupBy(hour.alias("hour"))
             .agg(F.count(F.lit(1)).alias("events")).orderBy("hour"))
 

@@ -1,35 +1,30 @@
-"""Exact grouped medians that never hold a group in one task.
+"""Exact grouped medians that never hold a group in one task's memory.
 
-Spark's ``median`` keeps every distinct value of a group in one aggregation
-buffer. That is the fastest way on small inputs and is used there, behind a check
-of the input's size. Beyond it the middle ranks are found by bucket descent.
+Equal values are counted before anything is shuffled. A first cumulative sum over coarse
+buckets of a group finds the one or two buckets with the middle ranks, a second one over
+the values of those buckets finds the middle values. One plan serves every size.
 """
 
 from __future__ import annotations
 
 from functools import reduce
 
-from pyspark.sql import DataFrame, functions as F
+from pyspark.sql import DataFrame, Window as W, functions as F
 
-from roadpulse.operators.selection import SMALL_INPUT_BYTES, same_keys, select_ranks
-from roadpulse.session import estimated_bytes
+from roadpulse.operators.selection import same_keys
 
-# Bucket multipliers per value domain, each step at most ~10 000 buckets wide.
-MINUTE_SCALES = (1.0, 1e4, 1e8)
-DEGREE_SCALES = (1e4, 1e8, 1e12)
+# Coarse buckets per unit of the value domain: about 10 000 over its usual range.
+MINUTE_SCALES = 1.0
+DEGREE_SCALES = 1e4
 
 
-def medians_by(df: DataFrame, keys: list[str], columns: dict[str, tuple[str, tuple[float, ...]]],
-               small_input_bytes: int = SMALL_INPUT_BYTES) -> DataFrame:
-    """One row per group with exact interpolated medians.
+def medians_by(df: DataFrame, keys: list[str], columns: dict[str, tuple[str, float]]) -> DataFrame:
+    """One row per group with exact interpolated medians; null and NaN are no values.
 
-    ``columns`` maps an output name to ``(input column, bucket multipliers)``. A
-    group whose values are all null keeps a row with a null median.
+    ``columns`` maps an output name to ``(input column, buckets per unit)``. A group
+    without values keeps a row with a null median.
     """
-    if estimated_bytes(df) <= small_input_bytes:
-        return df.groupBy(*keys).agg(*[
-            F.median(F.col(c).cast("double")).alias(out) for out, (c, _) in columns.items()])
-    parts = [median_by_descent(df, keys, c, scales, out) for out, (c, scales) in columns.items()]
+    parts = [_median(df, keys, c, scale, out) for out, (c, scale) in columns.items()]
     if not keys:
         tagged = reduce(DataFrame.unionByName, [
             p.select(F.lit(n).alias("_out"), F.col(n).alias("_m")) for p, n in zip(parts, columns)])
@@ -42,12 +37,20 @@ def medians_by(df: DataFrame, keys: list[str], columns: dict[str, tuple[str, tup
     return joined.drop("_rows")
 
 
-def median_by_descent(df: DataFrame, keys: list[str], column: str, scales: tuple[float, ...],
-                      out: str) -> DataFrame:
+def _median(df: DataFrame, keys: list[str], column: str, scale: float, out: str) -> DataFrame:
     """Mean of the two middle values (the same one twice for an odd count)."""
     value = F.col(column).cast("double")
-    steps = [F.floor(value * F.lit(s)).cast("bigint") for s in scales] + [value]
-    middle = F.array(((F.col("_all") + 1) / 2).cast("bigint"), ((F.col("_all") + 2) / 2).cast("bigint"))
-    found = select_ranks(df.where(value.isNotNull()), keys, steps, middle, "median")
-    return found.groupBy(*keys).agg(
-        (F.sum(F.col("value") * F.size("picked")) / F.lit(2.0)).alias(out))
+    counts = df.where(value.isNotNull() & ~F.isnan(value)).groupBy(*keys, value.alias("_v")).agg(F.count(F.lit(1)).alias("_n"))
+    counts = counts.withColumn("_b", F.floor(F.col("_v") * F.lit(scale)))
+    group = W.partitionBy(*keys)
+    buckets = counts.groupBy(*keys, "_b").agg(F.sum("_n").alias("_bn")).withColumns({
+        "_all": F.sum("_bn").over(group),
+        "_before": F.sum("_bn").over(group.orderBy("_b").rowsBetween(W.unboundedPreceding, W.currentRow)) - F.col("_bn")})
+    low, high = F.expr("(_all + 1) div 2"), F.expr("(_all + 2) div 2")
+    middle = buckets.where((F.col("_before") < high) & (F.col("_before") + F.col("_bn") >= low))
+    on = [*keys, "_b"]
+    middle = middle.withColumnsRenamed({k: f"_t_{k}" for k in on})
+    inside = counts.join(middle, same_keys([(k, f"_t_{k}") for k in on])).withColumn("_upto", F.col("_before") + F.sum("_n").over(
+        W.partitionBy(*on).orderBy("_v").rowsBetween(W.unboundedPreceding, W.currentRow)))
+    holds = lambda rank: ((F.col("_upto") - F.col("_n") < rank) & (F.col("_upto") >= rank)).cast("int")
+    return inside.groupBy(*keys).agg((F.sum(F.col("_v") * (holds(low) + holds(high))) / F.lit(2.0)).alias(out))

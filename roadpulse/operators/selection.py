@@ -15,9 +15,6 @@ from pyspark.sql import Column, DataFrame, Window as W, functions as F
 
 from roadpulse.session import settle
 
-# Below this input size one plain aggregation or window is the better plan.
-SMALL_INPUT_BYTES = 64 * 1024 * 1024
-
 
 def same_keys(pairs) -> Column:
     """Join condition that treats nulls as equal."""

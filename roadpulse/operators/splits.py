@@ -7,11 +7,16 @@ wide rows are neither shuffled nor sorted.
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame, Window as W, functions as F
+from pyspark.sql import Column, DataFrame, functions as F
 
 from roadpulse.operators.ranking import shuffle_key
-from roadpulse.operators.selection import SMALL_INPUT_BYTES, select_ranks
-from roadpulse.session import estimated_bytes, settle
+from roadpulse.operators.selection import select_ranks
+from roadpulse.session import settle
+
+
+def _order(key: str, seed) -> Column:
+    """The row's place in a seeded order; rows without a key share one."""
+    return shuffle_key(F.coalesce(F.col(key).cast("string"), F.lit("")), seed)
 
 
 def _hash_steps() -> list[Column]:
@@ -46,32 +51,23 @@ def _part_cuts(parts: int) -> Column:
 
 
 def random_folds(df: DataFrame, k: int = 5, seed: int = 42, key: str = "id",
-                 stratify: str | None = None, small_input_bytes: int = SMALL_INPUT_BYTES) -> DataFrame:
-    """Seeded folds 1..k of equal size (within each class if stratified).
+                 stratify: str | None = None) -> DataFrame:
+    """Seeded folds 1..k of equal size (within each class if stratified), by one plan at every size.
 
-    Copies of one key always share a fold.
+    Copies of one key always share a fold, and so do rows without a key; a key with more
+    rows than a fold makes its fold larger and others smaller.
     """
     keys = [stratify] if stratify else []
-    hashed = df.withColumn("_h", shuffle_key(F.col(key), seed))
-    if estimated_bytes(df) <= small_input_bytes:
-        return hashed.withColumn(
-            "fold", F.ntile(k).over(W.partitionBy(*keys).orderBy("_h"))).drop("_h")
+    hashed = df.withColumn("_h", _order(key, seed))
     cuts = _cuts(hashed.select(*keys, "_h"), keys, _hash_steps(), _part_cuts(k))
     return _attach(hashed, cuts, keys).withColumn(
         "fold", F.size(F.filter("_cuts", lambda c: F.col("_h") > c)) + F.lit(1)).drop("_h", "_cuts")
 
 
 def holdout_split(df: DataFrame, share: float = 0.2, seed: int = 42, key: str = "id",
-                  stratify: str = "requires_road_closure",
-                  small_input_bytes: int = SMALL_INPUT_BYTES) -> DataFrame:
+                  stratify: str = "requires_road_closure") -> DataFrame:
     """``part`` = test for a seeded share of every class (rounded up), else train."""
-    hashed = df.withColumn("_h", shuffle_key(F.col(key), seed))
-    if estimated_bytes(df) <= small_input_bytes:
-        group = W.partitionBy(stratify)
-        rank = F.row_number().over(group.orderBy("_h"))
-        size = F.count(F.lit(1)).over(group)
-        return hashed.withColumn(
-            "part", F.when(rank <= F.ceil(size * F.lit(share)), "test").otherwise("train")).drop("_h")
+    hashed = df.withColumn("_h", _order(key, seed))
     cuts = _cuts(hashed.select(stratify, "_h"), [stratify], _hash_steps(),
                  F.array(F.ceil(F.col("_all") * F.lit(share)).cast("bigint")))
     inside = F.coalesce(F.col("_h") <= F.try_element_at("_cuts", F.lit(1)), F.lit(False))
@@ -79,21 +75,14 @@ def holdout_split(df: DataFrame, share: float = 0.2, seed: int = 42, key: str =
         "part", F.when(inside, "test").otherwise("train")).drop("_h", "_cuts")
 
 
-def temporal_split(df: DataFrame, fraction: float = 0.8, key: str = "id",
-                   small_input_bytes: int = SMALL_INPUT_BYTES) -> DataFrame:
+def temporal_split(df: DataFrame, fraction: float = 0.8, key: str = "id") -> DataFrame:
     """``part`` = train for the earliest share of rows, test for the rest.
 
     Rows without a start count as the latest; equal starts are ordered by key hash.
     """
     far = F.lit(2 ** 62)
     keyed = df.withColumns({
-        "_u": F.coalesce(F.unix_micros("start_datetime"), far), "_h": shuffle_key(F.col(key), "time")})
-    if estimated_bytes(df) <= small_input_bytes:
-        # one ordered task, reached only by inputs below the size check
-        rank = F.row_number().over(W.orderBy("_u", "_h"))
-        size = F.count(F.lit(1)).over(W.partitionBy())
-        return keyed.withColumn(
-            "part", F.when(rank <= F.floor(size * F.lit(fraction)), "train").otherwise("test")).drop("_u", "_h")
+        "_u": F.coalesce(F.unix_micros("start_datetime"), far), "_h": _order(key, "time")})
     hour = (F.col("_u") / F.lit(3_600_000_000)).cast("bigint")
     second = (F.col("_u") / F.lit(1_000_000)).cast("bigint")
     steps = [hour, second, F.col("_u"), *_hash_steps()[:-1], F.struct("_u", "_h")]

@@ -191,9 +191,9 @@ def folds_stratified(spark: SparkSession, sf_dir: str) -> DataFrame:
     """SELECT id, requires_road_closure, CAST(ntile(5) OVER (PARTITION BY requires_road_closure
  ORDER BY md5(concat(id, '#42'))) AS INT) AS fold FROM eng""", "eng"))
 def folds_by_cut_points(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """The same folds by the plan used beyond the small-input check."""
+    """Folds from cut points of the hash order (see random_folds)."""
     rows = engineered(spark, sf_dir).select("id", "requires_road_closure")
-    return splits.random_folds(rows, stratify="requires_road_closure", small_input_bytes=0).select(
+    return splits.random_folds(rows, stratify="requires_road_closure").select(
         "id", "requires_road_closure", "fold")
 
 
@@ -219,8 +219,7 @@ def fold_temporal(spark: SparkSession, sf_dir: str) -> DataFrame:
  SELECT id, row_number() OVER (ORDER BY start_datetime NULLS LAST, md5(concat(id, '#time'))) AS rn,
  count(*) OVER () AS n FROM eng) q""", "eng"))
 def fold_temporal_by_cut_point(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return splits.temporal_split(engineered(spark, sf_dir).select("id", "start_datetime"),
-                                 small_input_bytes=0).select("id", "part")
+    return splits.temporal_split(engineered(spark, sf_dir).select("id", "start_datetime")).select("id", "part")
 
 
 @query("folds_group", None)
@@ -233,8 +232,8 @@ def folds_group(spark: SparkSession, sf_dir: str) -> DataFrame:
     """SELECT event_cause, round(median(duration_min), 6) AS median_duration FROM eng
  WHERE duration_min IS NOT NULL GROUP BY 1""", "eng"))
 def exact_medians_by_descent(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """The medians by the plan used beyond the small-input check."""
-    table = lookups.median_duration_by_cause(engineered(spark, sf_dir), small_input_bytes=0)
+    """Medians from counted values and two cumulative sums."""
+    table = lookups.median_duration_by_cause(engineered(spark, sf_dir))
     return table.select("event_cause", six("median_duration").alias("median_duration"))
 
 

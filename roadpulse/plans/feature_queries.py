@@ -10,7 +10,7 @@ from roadpulse.operators import dispatch, features, lookups
 from roadpulse.plans import oracle as o
 from roadpulse.plans.base import engineered, raw_incidents, six, stamp
 from roadpulse.plans.registry import query
-from roadpulse.session import prepare, scratch_path, settle, spread
+from roadpulse.session import prepare, scratch_path, settle
 from roadpulse.sources import incidents as source, sinks
 
 
@@ -102,7 +102,7 @@ def feature_text_flags(spark: SparkSession, sf_dir: str) -> DataFrame:
  CAST(len(regexp_extract_all(text, '{o.BLANK_FREE}')) AS INT) AS desc_word_count, {o.keyword_sql()}
  FROM (SELECT doc_id, text, lower(text) AS low FROM documents) a) b""")
 def document_text_flags(spark: SparkSession, sf_dir: str) -> DataFrame:
-    docs = spread(prepare(spark).read.parquet(f"{sf_dir}/documents.parquet").select("doc_id", "text"))
+    docs = prepare(spark).read.parquet(f"{sf_dir}/documents.parquet").select("doc_id", "text")
     return docs.transform(features.add_text, source="text").select(
         "doc_id", "desc_length", "desc_word_count", *KEYWORDS, "kw_total")
 
@@ -189,5 +189,5 @@ def local_clock(spark: SparkSession, sf_dir: str) -> DataFrame:
     local = temporal.to_local(F.col("start_datetime"))
     return rows.select(
         "id", stamp(local).alias("local_at"), stamp(temporal.to_utc(local)).alias("utc_at"),
-        stamp(temporal.shift_start(F.to_date(local))).alias("shift_at"),
+        stamp(temporal.shift_start(temporal.local_date(F.col("start_datetime")))).alias("shift_at"),
         temporal.tick_after(F.col("start_datetime"), 30).alias("tick_no"))

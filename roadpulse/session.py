@@ -29,11 +29,13 @@ def prepare(spark: SparkSession) -> SparkSession:
 def shared_dir(spark: SparkSession) -> str:
     """Folder all executors can reach: the cluster's ``spark.checkpoint.dir``.
 
-    Only a session without that setting (a unit test) gets a folder of its own.
+    Only a session whose executors are threads of the driver (``local`` masters) may go
+    without that setting; it gets a folder of its own.
     """
     configured = spark.conf.get("spark.checkpoint.dir", None)
     if configured:
         return configured.rstrip("/")
+    check_one_machine(spark.sparkContext.master)
     local = spark.conf.get("roadpulse.scratch", None)
     if not local:
         local = tempfile.mkdtemp(prefix="roadpulse-")
@@ -41,6 +43,11 @@ def shared_dir(spark: SparkSession) -> str:
     return local
 
 
+def check_one_machine(master: str) -> None:
+    if master != "local" and not master.startswith("local["):
+        raise ValueError(f"set spark.checkpoint.dir to a folder that all executors of {master} share")
+
+
 def scratch_path(spark: SparkSession, label: str) -> str:
     """A fresh, never reused path in the shared folder."""
     return f"{shared_dir(spark)}/roadpulse/{label}-{uuid.uuid4().hex}"
@@ -60,23 +67,6 @@ def settle(df: DataFrame, label: str = "table") -> DataFrame:
     return spark.read.schema(df.schema).parquet(path)
 
 
-def spread(df: DataFrame) -> DataFrame:
-    """Deal rows to all cores when the input arrives in fewer pieces than there are.
-
-    For work that is heavy per row (text): one large row group would otherwise keep
-    a single core busy. Inputs with enough splits pass through unchanged.
-    """
-    cores = df.sparkSession.sparkContext.defaultParallelism
-    if df.isStreaming or df.rdd.getNumPartitions() >= cores:
-        return df
-    return df.repartition(cores)
-
-
-def estimated_bytes(df: DataFrame) -> int:
-    """The optimizer's size estimate of ``df``; nothing is executed."""
-    return int(str(df._jdf.queryExecution().optimizedPlan().stats().sizeInBytes()))
-
-
 def concurrently(spark: SparkSession, *tasks: Callable[[], object]) -> list:
     """Run independent jobs at the same time, results in order.
 

@@ -9,8 +9,8 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
 
+from roadpulse.functions.temporal import parse_utc
 from roadpulse.schema import TIMESTAMP_COLUMNS
-from roadpulse.session import spread
 
 INCIDENTS_SQL = """
 SELECT concat('EVT', event_id) AS id,
@@ -55,14 +55,13 @@ FROM {rows}
 
 
 def events(spark: SparkSession, sf_dir: str) -> DataFrame:
-    # a table of one row group would keep one core busy; larger tables pass unchanged
-    return spread(spark.read.parquet(f"{sf_dir}/events.parquet").select("event_id", "ts", "user_id", "value"))
+    return spark.read.parquet(f"{sf_dir}/events.parquet").select("event_id", "ts", "user_id", "value")
 
 
 def incidents(spark: SparkSession, sf_dir: str) -> DataFrame:
     raw = spark.sql(INCIDENTS_SQL, events=events(spark, sf_dir))
     # the table holds zone-less instants; the pipeline works on UTC timestamps
-    return raw.withColumns({c: raw[c].cast("timestamp") for c in TIMESTAMP_COLUMNS})
+    return raw.withColumns({c: parse_utc(raw[c], raw.schema[c].dataType) for c in TIMESTAMP_COLUMNS})
 
 
 def pseudo_forecasts(rows: DataFrame) -> DataFrame:

@@ -7,27 +7,25 @@ import random
 import statistics
 
 import pytest
-from pyspark.sql import functions as F
+from pyspark.sql import Window as W, functions as F
 
 from roadpulse.learning import encoders
-from roadpulse.operators import evaluate, medians, splits
+from roadpulse.operators import evaluate, medians, ranking, splits
 
 
-@pytest.mark.parametrize("limit", [0, medians.SMALL_INPUT_BYTES])
-def test_medians_with_a_dominant_group_and_ties(spark, limit):
+def test_medians_with_a_dominant_group_and_ties(spark):
     draw = random.Random(1)
     rows = [("hot", draw.choice([7.5, draw.uniform(0.5, 4320)])) for _ in range(501)]
-    rows += [("even", 1.0), ("even", 2.0), ("one", 3.25), (None, 4.0), (None, 5.0), ("none", None)]
+    rows += [("even", 1.0), ("even", 2.0), ("one", 3.25), (None, 4.0), (None, 5.0), ("none", None), ("even", math.nan)]
     df = spark.createDataFrame(rows, "k string, v double")
-    got = {r["k"]: r["m"] for r in medians.medians_by(df, ["k"], {"m": ("v", medians.MINUTE_SCALES)}, limit).collect()}
-    want = {k: statistics.median([v for g, v in rows if g == k and v is not None]) for k in ("hot", "even", "one", None)}
+    got = {r["k"]: r["m"] for r in medians.medians_by(df, ["k"], {"m": ("v", medians.MINUTE_SCALES)}).collect()}
+    want = {k: statistics.median([v for g, v in rows if g == k and v is not None and not math.isnan(v)]) for k in ("hot", "even", "one", None)}
     assert got == {**want, "none": None}
 
 
-@pytest.mark.parametrize("limit", [0, medians.SMALL_INPUT_BYTES])
-def test_median_without_keys(spark, limit):
+def test_median_without_keys(spark):
     df = spark.createDataFrame([(12.61,), (12.97,), (13.01,), (12.97,)], "v double")
-    got = medians.medians_by(df, [], {"a": ("v", medians.DEGREE_SCALES), "b": ("v", medians.DEGREE_SCALES)}, limit).first()
+    got = medians.medians_by(df, [], {"a": ("v", medians.DEGREE_SCALES), "b": ("v", medians.DEGREE_SCALES)}).first()
     assert got["a"] == got["b"] == 12.97
 
 
@@ -80,20 +78,36 @@ def table(spark, n):
         "start_datetime", F.timestamp_seconds("t")).drop("t")
 
 
+def windows(df):
+    """The definitions as plain windows."""
+    h = lambda seed: ranking.shuffle_key(F.col("id"), seed)
+    group = W.partitionBy("y").orderBy(h(42))
+    size = F.count(F.lit(1)).over(W.partitionBy("y"))
+    time = W.orderBy(F.asc_nulls_last("start_datetime"), h("time"))
+    return (df.select("id", F.ntile(5).over(group)), df.select("id", F.ntile(3).over(W.orderBy(h(42)))),
+            df.select("id", F.when(F.row_number().over(group) <= F.ceil(size * 0.2), "test").otherwise("train")),
+            df.select("id", F.when(F.row_number().over(time) <= F.floor(F.count(F.lit(1)).over(W.partitionBy()) * 0.8), "train").otherwise("test")))
+
+
 @pytest.mark.parametrize("n", [7, 400])
 def test_cut_points_equal_windows(spark, n):
     df = table(spark, n).cache()
-    for call in (lambda limit: splits.random_folds(df, 5, stratify="y", small_input_bytes=limit).select("id", "fold"),
-                 lambda limit: splits.random_folds(df, 3, small_input_bytes=limit).select("id", "fold"),
-                 lambda limit: splits.holdout_split(df, 0.2, stratify="y", small_input_bytes=limit).select("id", "part"),
-                 lambda limit: splits.temporal_split(df, 0.8, small_input_bytes=limit).select("id", "part")):
-        large, small = sorted(call(0).collect()), sorted(call(1 << 40).collect())
-        assert large == small and len(large) == n
+    found = (splits.random_folds(df, 5, stratify="y").select("id", "fold"), splits.random_folds(df, 3).select("id", "fold"),
+             splits.holdout_split(df, 0.2, stratify="y").select("id", "part"), splits.temporal_split(df, 0.8).select("id", "part"))
+    for got, want in zip(found, windows(df)):
+        assert sorted(map(tuple, got.collect())) == sorted(map(tuple, want.collect()))
+
+
+def test_rows_without_a_key_share_a_fold(spark):
+    df = spark.createDataFrame([(None, True)] * 40 + [(f"e{i}", True) for i in range(200)], "id string, y boolean")
+    got = splits.random_folds(df, 5)
+    assert got.count() == 240 and got.where("id is null").select("fold").distinct().count() == 1
+    assert splits.holdout_split(df, 0.2, stratify="y").where("id is null").select("part").distinct().count() == 1
 
 
 def test_copies_of_one_key_stay_whole(spark):
     df = spark.createDataFrame([("same",)] * 300 + [(f"e{i}",) for i in range(600)], "id string")
-    got = splits.random_folds(df, 5, small_input_bytes=0)
+    got = splits.random_folds(df, 5)
     assert got.count() == 900
     assert got.where("id = 'same'").select("fold").distinct().count() == 1
 

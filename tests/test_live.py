@@ -81,9 +81,8 @@ def test_station_directory(spark):
     rows = [("A", 12.9, 77.5, "Z2")] * 2 + [("A", 13.0, 77.6, "Z1")] * 2 + [("A", 13.1, 77.7, "Z3")]
     rows += [("B", 12.8, 77.4, "Z1")] * 4 + [("Unknown", 12.8, 77.4, "Z1")] * 9
     df = spark.createDataFrame(rows, "police_station string, latitude double, longitude double, zone string")
-    for options in ({}, {"small_input_bytes": 0}):
-        got = dispatch.station_directory(df, **options).collect()
-        assert [(r["police_station"], r["events_handled"], r["zone"], r["latitude"]) for r in got] == [("A", 5, "Z1", 13.0)]
+    got = dispatch.station_directory(df).collect()
+    assert [(r["police_station"], r["events_handled"], r["zone"], r["latitude"]) for r in got] == [("A", 5, "Z1", 13.0)]
 
 
 def haversine(a, b, c, d):

@@ -36,12 +36,12 @@ def station_directory(df: DataFrame, city: CityConfig = DEFAULT_CITY, **options)
 
 
 def _cell(lat: Column, lon: Column, per_axis: int, city: CityConfig) -> Column:
-    """Row-major cell number inside the city box, OUTSIDE beyond it."""
+    """Row-major cell number inside the city box, OUTSIDE beyond it, null without a place."""
     def axis(value: Column, low: float, high: float) -> Column:
         position = F.floor((value - F.lit(low)) / F.lit((high - low) / per_axis))
         return F.greatest(F.lit(0), F.least(F.lit(per_axis - 1), position)).cast("int")
     number = axis(lat, *city.lat_range) * per_axis + axis(lon, *city.lon_range)
-    return F.when(geo.in_city(lat, lon, city), number).otherwise(F.lit(OUTSIDE))
+    return F.when(geo.in_city(lat, lon, city), number).when(lat.isNotNull() & lon.isNotNull(), F.lit(OUTSIDE))
 
 
 def station_cells(directory: DataFrame, city: CityConfig = DEFAULT_CITY,
@@ -134,8 +134,12 @@ def local_stamp(instant: Column, city: CityConfig = DEFAULT_CITY, sep: str = " "
 
 
 def dispatch_orders(forecast: DataFrame, cells: DataFrame, per_axis: int,
-                    issued_at: Column | None = None, city: CityConfig = DEFAULT_CITY) -> DataFrame:
-    """Forecast rows to 25-column orders addressed to the nearest station."""
+                    issued_at: Column | None = None, city: CityConfig = DEFAULT_CITY,
+                    carry: tuple[str, ...] = ()) -> DataFrame:
+    """Forecast rows to 25-column orders addressed to the nearest station.
+
+    ``carry`` names further columns of the rows to keep behind the 25.
+    """
     issued = F.col("start_datetime") if issued_at is None else issued_at
     event_id = F.coalesce(F.col("id").cast("string"), F.lit("EVT-NA"))
     routed = nearest_station(forecast, cells, per_axis, city)
@@ -146,4 +150,4 @@ def dispatch_orders(forecast: DataFrame, cells: DataFrame, per_axis: int,
         "police_station": F.col("station"),
         "description": F.substring(TEXT_COLUMN, 1, 300),
         "status": F.lit("SENT"),
-    }).select(*ORDER_COLUMNS)
+    }).select(*ORDER_COLUMNS, *carry)

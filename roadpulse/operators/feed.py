@@ -40,10 +40,18 @@ def new_between(feed: DataFrame, since, until) -> DataFrame:
     return feed.where((start > F.lit(since)) & (start <= F.lit(until)))
 
 
-def active_at(feed: DataFrame, instant) -> DataFrame:
+def may_be_active(instant, city: CityConfig = DEFAULT_CITY) -> Column:
+    """Starts that can still be on the feed at an instant: lifetimes are capped.
+
+    A plain bound on the start column, so it reaches the scan.
+    """
+    start, at = F.col("start_datetime"), F.lit(instant)
+    return (start <= at) & (start > temporal.add_minutes(at, F.lit(-float(city.lifetime_range[1]))))
+
+
+def active_at(feed: DataFrame, instant, city: CityConfig = DEFAULT_CITY) -> DataFrame:
     """Events affecting traffic at an instant: started, not yet over."""
-    at = F.lit(instant)
-    return feed.where((F.col("start_datetime") <= at) & (F.col("sim_end") > at))
+    return feed.where(may_be_active(instant, city) & (F.col("sim_end") > F.lit(instant)))
 
 
 def with_arrival_tick(feed: DataFrame, city: CityConfig = DEFAULT_CITY) -> DataFrame:
@@ -70,16 +78,21 @@ def with_tick_instant(df: DataFrame, city: CityConfig = DEFAULT_CITY) -> DataFra
     return df.withColumn("tick", temporal.tick_instant(F.col("tick_no"), city.tick_minutes))
 
 
-def newest_per_tick(new: DataFrame, limit: int | None, city: CityConfig = DEFAULT_CITY) -> DataFrame:
+def newest_per_tick(new: DataFrame, limit: int | None, issued: DataFrame | None = None) -> DataFrame:
     """The newest ``limit`` arrivals of each tick; ``None`` keeps all of them.
 
     ``row_number`` under a constant limit is cut inside each map task before the
-    shuffle, so a busy tick never gathers in one task.
+    shuffle, so a busy tick never gathers in one task. ``issued`` (tick_no, orders)
+    holds what earlier batches gave out; only the rest of a tick's limit is left then.
     """
     if limit is None:
         return new
     latest = W.partitionBy("tick_no").orderBy(F.desc("start_datetime"), F.desc("id"))
-    return new.withColumn("_rn", F.row_number().over(latest)).where(F.col("_rn") <= limit).drop("_rn")
+    kept = new.withColumn("_rn", F.row_number().over(latest)).where(F.col("_rn") <= limit)
+    if issued is not None:
+        kept = kept.join(issued.select("tick_no", F.col("orders").alias("_given")), "tick_no", "left").where(
+            F.col("_rn") <= limit - F.coalesce("_given", F.lit(0))).drop("_given")
+    return kept.drop("_rn")
 
 
 def without_issued(new: DataFrame, orders: DataFrame) -> DataFrame:

@@ -4,7 +4,6 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
-from roadpulse.config import CHOICE_SIZES
 from roadpulse.operators import insight, lookups
 from roadpulse.plans import oracle as o
 from roadpulse.plans.base import engineered, six
@@ -34,16 +33,20 @@ def events_by_hour(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 @query("busiest_corridors", o.with_tables(
-    """SELECT corridor, count(*) AS events FROM eng GROUP BY 1 ORDER BY events DESC, corridor LIMIT 12""", "eng"))
+    """SELECT corridor, count(*) AS events FROM eng GROUP BY 1 ORDER BY events DESC, corridor LIMIT 5""", "eng"))
 def busiest_corridors(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return insight.busiest_corridors(engineered(spark, sf_dir))
+    return insight.busiest_corridors(engineered(spark, sf_dir), 5)
+
+
+# below the number of values of each field, so that every list is cut
+LISTED = {"event_cause": 6, "veh_type": 3, "corridor": 5, "zone": 3, "police_station": 25}
 
 
 @query("top_choices", o.with_tables(" UNION ALL ".join(
     f"""SELECT '{c}' AS dimension, value FROM (SELECT {c} AS value, count(*) AS n FROM eng GROUP BY 1
- ORDER BY n DESC, value LIMIT {n}) q""" for c, n in CHOICE_SIZES.items()), "eng"))
+ ORDER BY n DESC, value LIMIT {n}) q""" for c, n in LISTED.items()), "eng"))
 def top_choices(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return insight.top_choices(engineered(spark, sf_dir))
+    return insight.top_choices(engineered(spark, sf_dir), LISTED)
 
 
 @query("hot_spots", o.with_tables(

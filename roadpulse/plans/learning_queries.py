@@ -51,11 +51,11 @@ def tfidf_vectors(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Weights of every document over the learned vocabulary, summed up per document."""
     docs = _documents(spark, sf_dir)
     weights = TfIdf.fit(docs, "text").transform(docs, "text", "v").select(
-        "doc_id", vector_to_array("v").alias("w"))
+        "doc_id", F.unwrap_udt("v")["values"].alias("w"))
     return weights.select(
-        "doc_id", F.size(F.filter("w", lambda x: x > 0)).cast("bigint").alias("terms"),
+        "doc_id", F.size("w").cast("bigint").alias("terms"),
         F.round(F.aggregate("w", F.lit(0.0), lambda a, x: a + x), 5).alias("weight_sum"),
-        F.round(F.array_max("w"), 5).alias("weight_max"))
+        F.round(F.coalesce(F.array_max("w"), F.lit(0.0)), 5).alias("weight_max"))
 
 
 @query("tfidf_svd", None)

@@ -73,9 +73,9 @@ def corridor_congestion(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 @query("congestion_board", o.with_tables(
     f"""SELECT * FROM ({o.congestion('(SELECT * FROM feed WHERE start_datetime <= ' + _AT + ' AND sim_end > ' + _AT + ') x')}) y
- ORDER BY congestion_index DESC, corridor LIMIT 10""", "feed"))
+ ORDER BY congestion_index DESC, corridor LIMIT 5""", "feed"))
 def congestion_board(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return congestion.congestion_at(live_feed(spark, sf_dir), _instant(INSTANT)).limit(10)
+    return congestion.congestion_at(live_feed(spark, sf_dir), _instant(INSTANT)).limit(5)
 
 
 @query("congested_corridors", o.with_tables(
@@ -255,9 +255,14 @@ _ACTIVE_NOW = f"act AS MATERIALIZED (SELECT * FROM feed WHERE start_datetime <=
 
 
 def _board(spark: SparkSession, sf_dir: str) -> tuple[DataFrame, DataFrame]:
-    table = settle(live_feed(spark, sf_dir), "feed")
-    active = feed.active_at(table, _instant(INSTANT))
-    log = settle(orders(spark, sf_dir), "orders").where(F.col("issued_at_ist") <= "2024-01-10 18:30:00")
+    """The active set, small enough to settle, and the order log up to the window's start.
+
+    Boards read no addresses, so the log is not routed; both sides bound the start column.
+    """
+    active = settle(feed.active_at(live_feed(spark, sf_dir), _instant(INSTANT)), "active")
+    event_id = F.coalesce(F.col("id").cast("string"), F.lit("EVT-NA"))
+    log = planned(spark, sf_dir).where(F.col("start_datetime") <= _instant(SINCE)).withColumns({
+        "event_id": event_id, "order_id": F.concat(F.lit("DSP-"), event_id)})
     return active, log
 
 
@@ -271,11 +276,13 @@ def active_orders(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 @query("active_severity", o.with_tables(
     """SELECT id, coalesce(severity_band, 'Monitoring') AS severity, coalesce(impact_score, 20E0) AS score
- FROM act LEFT JOIN (SELECT event_id, severity_band, impact_score FROM ord WHERE distance_km < 3) q
+ FROM act LEFT JOIN (SELECT event_id, severity_band, impact_score FROM ord
+ WHERE issued_at_ist <= '2024-01-10 18:30:00') q
  ON id = event_id""", "ord", "feed", extra=_ACTIVE_NOW))
 def active_severity(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Events reported after the log was last written show the monitoring defaults."""
     active, log = _board(spark, sf_dir)
-    return insight.active_with_severity(active, log.where("distance_km < 3")).select("id", "severity", "score")
+    return insight.active_with_severity(active, log).select("id", "severity", "score")
 
 
 @query("live_kpis", o.with_tables(

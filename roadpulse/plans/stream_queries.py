@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, SparkSession, functions as F, types as T
+from pyspark.sql import Column, DataFrame, SparkSession, functions as F, types as T
 from pyspark.sql.streaming import StreamingQuery
 
 from roadpulse.operators import feed, features
@@ -35,15 +35,18 @@ def feed_stream(history: DataFrame, path: str) -> DataFrame:
     return jobs.engineered_stream(raw, features.CoordinateMedians.fit(history))
 
 
-def replay(history: DataFrame, path: str, *start, deliveries: int = DELIVERIES) -> None:
+def replay(history: DataFrame, path: str, *start, deliveries: int = DELIVERIES, held: Column | None = None) -> None:
     """Deliver the incidents in time order and let the queries catch up each time.
 
-    Every third event is delivered twice. A query restarts from its checkpoint for
-    each delivery, which makes one micro-batch of however many files it has.
+    Every third event is delivered twice; events that meet ``held`` come one delivery late.
+    A query restarts from its checkpoint for each delivery, which makes one micro-batch of
+    however many files it has.
     """
-    day = F.dayofmonth("start_datetime")
-    for part in range(deliveries):
-        share = history.where(F.coalesce(F.floor((day - 1) * deliveries / F.lit(31)), F.lit(0)) == part)
+    due = F.coalesce(F.floor((F.dayofmonth("start_datetime") - 1) * deliveries / F.lit(31)), F.lit(0))
+    if held is not None:
+        due = due + F.when(held, 1).otherwise(0)
+    for part in range(deliveries + (held is not None)):
+        share = history.where(due == part)
         repeats = share.where(F.substring("id", 4, 20).cast("bigint") % 3 == 0)
         share.unionByName(repeats).write.mode("append").parquet(path)
         for begin in start:
@@ -112,16 +115,21 @@ def stream_orders(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 @query("stream_late_counts", o.with_tables(
-    f"""SELECT (extract('day' FROM start_datetime) - 1) * 3 // 31 AS batch_id,
- CAST(sum(CASE WHEN CAST(substr(id, 4) AS BIGINT) % 3 = 0 THEN 2 ELSE 1 END) AS BIGINT) AS rows,
- CAST(0 AS BIGINT) AS late_rows,
- {o.stamp(f"make_timestamp(max({o.tick('start_datetime')}) * {o.US30})")} AS max_tick FROM feed GROUP BY 1""",
-    "feed"))
+    f"""SELECT d.b AS batch_id, CAST(sum(n) AS BIGINT) AS rows,
+ CAST(coalesce(sum(CASE WHEN t <= before.newest - 2 THEN n END), 0) AS BIGINT) AS late_rows,
+ {o.stamp(f"make_timestamp(m.newest * {o.US30})")} AS max_tick
+ FROM d JOIN m ON d.b = m.b LEFT JOIN m AS before ON before.b = d.b - 1 GROUP BY d.b, m.newest""",
+    "feed", extra=f"""d AS MATERIALIZED (SELECT (extract('day' FROM start_datetime) - 1) * 3 // 31
+  + CASE WHEN CAST(substr(id, 4) AS BIGINT) % 50 = 7 THEN 1 ELSE 0 END AS b, {o.tick('start_datetime')} AS t,
+  CASE WHEN CAST(substr(id, 4) AS BIGINT) % 3 = 0 THEN 2 ELSE 1 END AS n FROM feed),
+ m AS MATERIALIZED (SELECT b, max(max(t)) OVER (ORDER BY b) AS newest FROM d GROUP BY b)"""))
 def stream_late_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """One event in fifty comes a delivery late: rows, rows beyond the watermark, newest tick."""
     history, _ = history_tables(spark, sf_dir)
     path, out, checkpoint = (scratch_path(spark, n) for n in ("feed", "late", "checkpoint"))
     rows = feed_stream(history, path)
-    replay(history, path, lambda: jobs.start_late_counts(rows, out, checkpoint))
+    replay(history, path, lambda: jobs.start_late_counts(rows, out, checkpoint),
+           held=F.substring("id", 4, 20).cast("bigint") % 50 == 7)
     return spark.read.parquet(out).select("batch_id", "rows", "late_rows", stamp("max_tick").alias("max_tick"))
 
 

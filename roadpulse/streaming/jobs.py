@@ -61,7 +61,8 @@ def congestion_stream(rows: DataFrame, lateness_minutes: int = LATENESS_MINUTES,
 def orders_stream(rows: DataFrame, forecast: Callable[[DataFrame], DataFrame], cells: DataFrame,
                   per_axis: int, city: CityConfig = DEFAULT_CITY) -> DataFrame:
     """Forecast every new event and address its order to the nearest station."""
-    return dispatch.dispatch_orders(forecast(rows), cells, per_axis, city=city)
+    carry = tuple(c for c in ("tick_no",) if c in rows.columns)
+    return dispatch.dispatch_orders(forecast(rows), cells, per_axis, city=city, carry=carry)
 
 
 def _batch_path(path: str, batch_id: int) -> str:
@@ -93,12 +94,22 @@ def start_orders(arrived: DataFrame, forecast: Callable[[DataFrame], DataFrame],
     """Cap, forecast, route and log the events of each batch.
 
     ``directory`` is asked anew for every batch, so refreshed priors take effect
-    without a restart. ``per_tick`` limits the newest events per tick of a batch
-    (``None`` dispatches all of them).
+    without a restart. An id that any earlier batch of the log holds gets no second
+    order, however long ago that was. ``per_tick`` limits the orders of a tick over all
+    batches (``None`` dispatches every event); within a batch the newest come first.
+    The log carries each order's arrival tick, and a batch reads two narrow columns of it.
     """
+    spark = arrived.sparkSession
+    issued_columns = "event_id string, tick_no bigint, batch_id bigint"
+
     def write(batch: DataFrame, batch_id: int) -> None:
         cells, per_axis = directory()
-        chosen = feed.newest_per_tick(batch, per_tick, city)
+        given = None
+        if batch_id > 0:
+            log = spark.read.schema(issued_columns).parquet(path).where(F.col("batch_id") < batch_id)
+            batch = feed.without_issued(batch, log)
+            given = log.groupBy("tick_no").agg(F.count(F.lit(1)).alias("orders"))
+        chosen = feed.newest_per_tick(batch, per_tick, given)
         orders = orders_stream(chosen, forecast, cells, per_axis, city)
         orders.write.mode("overwrite").parquet(_batch_path(path, batch_id))
 
@@ -111,22 +122,23 @@ def start_late_counts(rows: DataFrame, path: str, checkpoint: str,
                       **trigger) -> StreamingQuery:
     """Side table of rows that came too late for the watermark, per batch.
 
-    The newest tick seen before a batch is read back from the table itself, so the
-    count is right after a restart as well.
+    ``max_tick`` is the newest tick of this and all earlier batches. It is read back from
+    the row of the batch before, so a batch costs the same however long the stream has
+    run, and the count is right after a restart as well.
     """
     spark = rows.sparkSession
     ticked = feed.with_tick_instant(feed.with_arrival_tick(rows, city), city)
-    schema = "rows bigint, late_rows bigint, max_tick timestamp, batch_id bigint"
+    schema = "rows bigint, late_rows bigint, max_tick timestamp"
 
     def write(batch: DataFrame, batch_id: int) -> None:
         newest = None
         if batch_id > 0:
-            newest = spark.read.schema(schema).parquet(path).where(
-                F.col("batch_id") < batch_id).agg(F.max("max_tick")).first()[0]
-        limit = F.lit(newest).cast("timestamp") - F.make_dt_interval(mins=F.lit(lateness_minutes))
+            newest = spark.read.schema(schema).parquet(_batch_path(path, batch_id - 1)).first()["max_tick"]
+        seen = F.lit(newest).cast("timestamp")
+        limit = seen - F.make_dt_interval(mins=F.lit(lateness_minutes))
         batch.agg(F.count(F.lit(1)).alias("rows"),
                   F.count_if(F.col("tick") <= limit).alias("late_rows"),
-                  F.max("tick").alias("max_tick")).write.mode("overwrite").parquet(_batch_path(path, batch_id))
+                  F.greatest(F.max("tick"), seen).alias("max_tick")).write.mode("overwrite").parquet(_batch_path(path, batch_id))
 
     return (ticked.writeStream.outputMode("append").foreachBatch(write)
             .option("checkpointLocation", checkpoint).trigger(**(trigger or {"availableNow": True})).start())

@@ -40,6 +40,19 @@ def test_duplicates_and_late_rows(spark, tmp_path):
     assert "late" not in ids and ids.count("b") == 1 and ids.count("c") == 1 and ids.count("a") in (1, 2)
 
 
+def test_one_order_per_event_and_a_cap_per_tick_over_all_batches(spark, tmp_path, monkeypatch):
+    path, out, cp = (str(tmp_path / n) for n in ("in", "out", "cp"))
+    event = lambda name, at: (name, f"2024-01-01 {at}", "2024-01-01 23:59:00", "A", 0, 0)
+    for rows in ([event("a", "10:05:00"), event("b", "10:10:00")],
+                 [event("c", "10:11:00"), event("d", "10:12:00")],        # the same tick, next batch
+                 [event("e", "18:00:00")], [event("f", "18:05:00")],       # the watermark passes the first tick
+                 [event("a", "20:00:00"), event("g", "20:01:00")]):        # "a" again, long forgotten by the stream
+        land(spark, path, rows)
+        monkeypatch.setattr(jobs, "orders_stream", lambda rows, *_: rows.select(F.col("id").alias("event_id"), "tick_no"))
+        jobs.start_orders(jobs.arrivals(source(spark, path)), None, lambda: (None, 1), out, cp, per_tick=3).awaitTermination()
+    assert sorted(r["event_id"] for r in spark.read.parquet(out).collect()) == ["a", "b", "d", "e", "f", "g"]
+
+
 def test_late_counts(spark, tmp_path):
     path, out, cp = (str(tmp_path / n) for n in ("in", "out", "cp"))
     for rows in DELIVERIES:

@@ -5,8 +5,9 @@ score sums weights of the token's shape, length, character mix and prefix, of th
 the tokens before and after it, and of the file's own features; tag pairs add transition
 weights; Viterbi decodes. The field is trained here, by exact gradients of the
 log-likelihood, on a bounded hash sample of rows whose tags come from the base patterns; each
-window with a secret is learned once more with the secret's signs redrawn from all letters
-and digits and without the words that announce it, so that its shape alone can tell.
+window with a secret is learned again, without the words that announce it, with secrets of
+other alphabets, lengths and prefixes, and with everyday long tokens (addresses, names,
+times, numbers) that are none, so that shape alone can tell.
 
 Most tokens are settled before decoding: where "outside" beats the other tags by more than
 any transitions could win back, it is on the best path. Viterbi runs on what lies between.
@@ -41,7 +42,9 @@ HEX = re.compile(r"[0-9a-f]{16,}")  # maximal runs, as [0-9a-f]+ with at least 1
 _KEYWORD = re.compile(r"(?i)passw|secret|token|api_?key|credential|private|bearer|auth")
 NAMES = ("password", "passwd", "secret", "token", "apikey", "api_key")
 _HEX_RUN, _HEX_MAP = b"x" * 16, bytes(120 if chr(i) in "0123456789abcdef" else 32 for i in range(256))
-_DRAWN = string.ascii_letters + string.digits
+ALPHABETS = (string.ascii_letters + string.digits, string.ascii_uppercase + string.digits, string.ascii_lowercase + string.digits,
+             string.ascii_letters + string.digits + "+/", string.ascii_letters + string.digits + "-_")
+DRAWN_SIZES, REDRAWS = (18, 49), 4
 _RUN = re.compile(r"(.)\1+")
 EDGES = "\"'`,;()[]{}<>.!?:"
 CLASSES = ("word", "keyword", "assigner", "keyword assigner", "number", "mixed", "edge")
@@ -87,6 +90,7 @@ def token_features(token: str) -> list[str]:
     if n >= 12:
         out.append(f"variety={min(10 * len(set(core)) // n, 9)}")
         out.append(f"changes={min(10 * sum(a != b for a, b in zip(kinds, kinds[1:])) // n, 9)}")
+        out.append("signs=" + "".join(sorted({c for c in core if not c.isalnum()}))[:4])
     if n >= 8 and not core.isalpha():
         out.append("head=" + core[:4])
     if _KEYWORD.search(token):
@@ -252,19 +256,45 @@ def tagged_windows(text: str, plain: bool) -> list[tuple[list[str], list[int], i
             for c in sorted(set(centres))[:WINDOWS_A_ROW]]
 
 
-def redrawn(token: str) -> str:
-    """The token with the letters and digits after its last assigner drawn anew, by hash."""
+def redrawn(token: str, draw: int) -> str:
+    """The token with another secret after its last assigner: alphabet, length and prefix drawn by hash."""
+    rng = np.random.default_rng([zlib.crc32(token.encode()), draw])
     at = max(token.rfind("="), token.rfind(":")) + 1
-    if at == len(token.rstrip(EDGES)):
-        at = 0
-    draw = np.random.default_rng(zlib.crc32(token.encode())).integers(0, len(_DRAWN), len(token)).tolist()
-    return token[:at] + "".join(_DRAWN[d] if c.isalnum() else c for c, d in zip(token[at:], draw))
+    stop = len(token.rstrip(EDGES))
+    at = 0 if at >= stop else at
+    at += len(token[at:stop]) - len(token[at:stop].lstrip(EDGES))
+    signs = ALPHABETS[int(rng.integers(len(ALPHABETS)))]
+    drawn = "".join(signs[i] for i in rng.integers(0, len(signs), int(rng.integers(*DRAWN_SIZES))).tolist())
+    letters = "".join(string.ascii_letters[i] for i in rng.integers(0, 26, int(rng.integers(2, 5))).tolist())
+    return token[:at] + ("", "", letters + "_", letters + "-")[int(rng.integers(4))] + drawn + token[stop:]
+
+
+def everyday(tokens: list[str], draw: int) -> str:
+    """A long token that is no secret, made of the window's own words: address, name, path, time or number."""
+    rng = np.random.default_rng([zlib.crc32(" ".join(tokens).encode()), draw])
+    words = [w for w in (t.strip(EDGES).lower() for t in tokens) if w.isalpha()] or ["word"]
+    a, b, c = (words[i][:k] for i, k in zip(rng.integers(0, len(words), 3).tolist(), rng.integers(3, 10, 3).tolist()))
+    n = [int(x) for x in rng.integers(10, 60, 8)]
+    forms = (f"https://www.{a}.com/{b}/{c}-{n[0]}", f"{a}.{b}{n[0]}@{c}{n[1] % 10}.example.com", f"{a}_{b}_{c}", f"{a}-{b}-{c}{n[0]}",
+             f"{a}/{b}/{c}.{b[:3]}", f"20{n[0]}-{n[1] % 12 + 1:02}-{n[2] % 28 + 1:02}T{n[3] % 24:02}:{n[4]}:{n[5]}", "".join(map(str, n[:7])),
+             f"{a}{b.title()}{c.title()}{n[0]}", f"{a.upper()}_{b.upper()}_{n[0]}", f"{a}.{b}({c},{n[0]})",
+             "-".join(map(str, n[:6])), f"{a}{b.title()}{c.title()}")
+    return forms[draw % len(forms)]
+
+
+def _varied(window: tuple[list[str], list[int], int], number: int) -> list[tuple[list[str], list[int], int]]:
+    """The window with redrawn secrets, and with everyday tokens in their place, without announcing words."""
+    tokens, gold, kind = window
+    quiet = ["the" if not g and token_class(t) in (1, 2, 3) else t for t, g in zip(tokens, gold)]
+    out = [([redrawn(t, d) if g else t for t, g in zip(quiet, gold)], gold, kind) for d in range(REDRAWS)]
+    first = number * REDRAWS
+    return out + [([everyday(tokens, d) if g else t for t, g in zip(quiet, gold)], [O] * len(gold), kind) for d in range(first, first + REDRAWS)]
 
 
 def fit(windows: list[tuple[list[str], list[int], int]]) -> Field:
     """Maximum-likelihood weights by gradient steps with adaptive rates."""
-    windows = windows + [([redrawn(t) if g else "the" if token_class(t) in (1, 2, 3) else t for t, g in zip(tokens, gold)], gold, kind)
-                         for tokens, gold, kind in windows if any(gold)]
+    marked = [w for w in windows if any(w[1])]
+    windows = windows + [v for i, w in enumerate(marked) for v in _varied(w, i)]
     names: dict[str, int] = {}
     length, width = 2 * WINDOW + 1, 10
     n = len(windows)

@@ -356,6 +356,31 @@ def test_secret_scan(spark):
     assert secret_scan.scan(docs.limit(0)).collect() == []
 
 
+def test_field_finds_secrets_of_other_shapes():
+    rng = random.Random(9)
+    plain = ["alpha", "beta", "gamma", "delta.", "river,", "house"]
+    texts = []
+    for i in range(300):
+        words = [rng.choice(plain) for _ in range(40)]
+        if i % 3 == 0:
+            words.insert(20, 'token = "%s"' % hashlib.sha1(str(i).encode()).hexdigest())
+        texts.append(" ".join(words))
+    field = secret_scan.fit([w for t in texts for w in secret_scan.tagged_windows(t, True)])
+    signs = "abcdefghijklmnopqrstuvwxyzABCDEFGHIJKLMNOPQRSTUVWXYZ0123456789"
+    shapes = [("ghp_", 36), ("sk_live_", 24), ("AIza", 35), ("", 40)]
+    found = 0
+    for i in range(80):
+        head, size = shapes[i % 4]
+        secret = head + "".join(rng.choice(signs) for _ in range(size))
+        words = [rng.choice(plain) for _ in range(30)]
+        text = " ".join(words[:12] + [secret] + words[12:])
+        at = text.index(secret)
+        found += (at, at + len(secret), "crf") in field.spans(text)
+    assert found >= 72
+    for usual in ("https://www.example.org/alpha/river-12", "jane.doe42@mail.example.org", "2024-09-10T18:30:00", "12345678901234", "alpha_river_house"):
+        assert field.spans(" ".join(plain * 3 + [usual] + plain * 3)) == []
+
+
 def test_viterbi_beats_every_other_path():
     rng = np.random.default_rng(3)
     windows = [(["alpha", "token", "=", "0123456789abcdef00", "beta"], [0, 0, 0, 1, 0], 0)] * 3

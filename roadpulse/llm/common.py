@@ -22,10 +22,10 @@ def documents(spark: SparkSession, sf_dir: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/documents.parquet")
 
 
-def id_and_text(docs: DataFrame) -> DataFrame:
-    """Only the two columns that count; a null text is an empty one."""
+def id_and_text(docs: DataFrame, *more: Column) -> DataFrame:
+    """Only the two columns that count, and ``more``; a null text is an empty one."""
     return docs.select(F.col("doc_id").cast("bigint").alias("doc_id"),
-                       F.coalesce(F.col("text"), F.lit("")).alias("text"))
+                       F.coalesce(F.col("text"), F.lit("")).alias("text"), *more)
 
 
 def partitions_for(df: DataFrame, per_gb: int = 0) -> int:

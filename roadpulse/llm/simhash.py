@@ -23,7 +23,7 @@ from __future__ import annotations
 import numpy as np
 import pyarrow as pa
 import xxhash
-from pyspark.sql import DataFrame, functions as F
+from pyspark.sql import Column, DataFrame, functions as F
 
 from roadpulse.llm.common import id_and_text, pieces
 from roadpulse.llm.graph import components
@@ -59,13 +59,16 @@ def _fingerprints(texts: list[bytes]) -> np.ndarray:
     return np.packbits(out, axis=1, bitorder="little").view(np.uint64).ravel()
 
 
-def fingerprints(docs: DataFrame) -> DataFrame:
-    """(doc_id, fp): the fingerprint's 64 bits as a signed number."""
+def fingerprints(docs: DataFrame, **carried: Column) -> DataFrame:
+    """(doc_id, fp, carried string columns): the fingerprint's 64 bits as a signed number."""
+    names = ["doc_id", "fp", *carried]
+
     def run(batches):
         for piece in pieces(batches):
             texts = piece.column(1).cast(pa.large_binary()).to_pylist()
-            yield pa.record_batch([piece.column(0), pa.array(_fingerprints(texts).view(np.int64))], names=["doc_id", "fp"])
-    return id_and_text(docs).mapInArrow(run, "doc_id bigint, fp bigint")
+            yield pa.record_batch([piece.column(0), pa.array(_fingerprints(texts).view(np.int64)), *piece.columns[2:]], names=names)
+    schema = "doc_id bigint, fp bigint" + "".join(f", {name} string" for name in carried)
+    return id_and_text(docs, *[c.alias(name) for name, c in carried.items()]).mapInArrow(run, schema)
 
 
 def _links(a, b, crowded):
@@ -176,13 +179,13 @@ def links(fps: DataFrame) -> DataFrame:
     return first.unionByName(second).where("not crowded").unionByName(two.mapInArrow(_chains, schema)).select("a", "b")
 
 
-def near_duplicates(docs: DataFrame) -> DataFrame:
-    """(doc_id, fingerprint, component_id, label) for every row.
+def near_duplicates(docs: DataFrame, **carried: Column) -> DataFrame:
+    """(doc_id, fingerprint, component_id, label, carried string columns) for every row.
 
     ``fingerprint`` is 16 lowercase hex digits, ``component_id`` the smallest doc_id that
     is reachable over links, ``label`` names the component also where ids are null.
     """
-    rows = settle(fingerprints(docs), "fingerprints")
+    rows = settle(fingerprints(docs, **carried), "fingerprints")
     distinct = rows.groupBy("fp").agg(F.min("doc_id").alias("first"))
     labels = components(links(distinct.select("fp")))
     named = distinct.join(labels, F.col("fp") == F.col("node"), "left").select("fp", "first", F.coalesce("label", "fp").alias("label"))
@@ -190,16 +193,23 @@ def near_duplicates(docs: DataFrame) -> DataFrame:
     least = named.groupBy("label").agg(F.min("first").alias("component_id")).withColumnRenamed("label", "k")
     known = named.join(least, F.col("label") == F.col("k")).select(F.col("fp").alias("k_fp"), "component_id", "label")
     return rows.join(known, F.col("fp") == F.col("k_fp"), "left").select(
-        "doc_id", F.lpad(F.lower(F.hex("fp")), 16, "0").alias("fingerprint"), "component_id", "label")
+        "doc_id", F.lpad(F.lower(F.hex("fp")), 16, "0").alias("fingerprint"), "component_id", "label", *carried)
 
 
 def keep_one(docs: DataFrame) -> DataFrame:
-    """The rows of ``docs`` without near-duplicates: of each component the smallest doc_id.
+    """The rows of ``docs`` without near-duplicates: one row of each component.
 
-    Rows that repeat the kept id are duplicates too; of a component of null ids one row stays.
+    It is the first by doc_id (null after all others), fingerprint, text hash and hash of
+    the other columns; rows equal in all of them are one row repeated. Rows that share an
+    id but not a component do not compete.
     """
-    found = near_duplicates(docs).where(F.col("doc_id").eqNullSafe(F.col("component_id")))
-    kept = found.groupBy("doc_id", "label").agg(F.min("fingerprint").alias("fp")).select(F.col("doc_id").alias("k_id"), "fp")
-    marked = docs.join(kept.where("k_id is not null").select("k_id"), F.col("doc_id").cast("bigint") == F.col("k_id"), "left_semi")
-    nameless = docs.where("doc_id is null")
-    return marked.dropDuplicates(["doc_id"]).unionByName(nameless.dropDuplicates(["text"]))
+    others = [c for c in docs.columns if c not in ("doc_id", "text")]
+    text_key = F.md5(F.coalesce("text", F.lit("")))
+    rest_key = F.md5(F.to_json(F.struct(*others))) if others else F.lit("")
+    rows = near_duplicates(docs, text_key=text_key, rest_key=rest_key)
+    first = F.min(F.struct(F.col("doc_id").isNull().alias("nameless"), "doc_id", "fingerprint", "text_key", "rest_key"))
+    kept = rows.groupBy("label").agg(first.alias("row")).select(
+        F.col("row.doc_id").alias("k_id"), F.col("row.text_key").alias("k_text"), F.col("row.rest_key").alias("k_rest"))
+    keyed = docs.withColumns({"_text_key": text_key, "_rest_key": rest_key})
+    same = F.col("doc_id").cast("bigint").eqNullSafe(F.col("k_id")) & (F.col("_text_key") == F.col("k_text")) & (F.col("_rest_key") == F.col("k_rest"))
+    return keyed.join(kept, same, "left_semi").dropDuplicates(["doc_id", "_text_key", "_rest_key"]).select(*docs.columns)

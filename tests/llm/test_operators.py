@@ -126,6 +126,23 @@ def test_simhash(docs, texts, empty):
     assert sorted(i for i in ids if i is not None) == sorted(set(least.values()))
 
 
+def test_keep_one_with_null_and_repeated_ids(spark):
+    rng = random.Random(12)
+    words = lambda: [rng.choice("abcdefghij") + str(rng.randint(0, 99)) for _ in range(300)]
+    named, other, clean, alone = words(), words(), words(), words()
+    near = next(t for t in (alone[:i] + ["changed"] + alone[i + 1:] for i in range(300))
+                if 0 < bin(_fingerprint(" ".join(t)) ^ _fingerprint(" ".join(alone))).count("1") <= 2)
+    rows = [(i, " ".join(t), s) for i, t, s in [
+        (5, named, "a"), (None, named, "a"), (9, named, "b"), (8, other, "a"), (9, other, "a"), (9, clean, "a"),
+        (None, alone, "a"), (None, near, "b"), (None, near, "c"), (20, words(), "q"), (20, words(), "p")]]
+    rows += [(20, rows[-1][1], "p"), (20, rows[-1][1], "o")]
+    for n in (1, 7):
+        kept = [tuple(r) for r in simhash.keep_one(spark.createDataFrame(rows, "doc_id bigint, text string, source string").repartition(n)).collect()]
+        nameless = [r for r in kept if r[0] is None]
+        assert len(nameless) == 1 and nameless[0] in rows[6:9]
+        assert sorted(r for r in kept if r[0] is not None) == sorted([rows[0], rows[3], rows[5], rows[9], rows[-1]])
+
+
 @pytest.mark.parametrize("crowd", [64, 3])
 def test_links_with_crowds(spark, monkeypatch, crowd):
     monkeypatch.setattr(simhash, "CROWD", crowd)

@@ -8,8 +8,8 @@ costs; an unsuspicious token has one path and is its own reading. Restored words
 by a lexicon of words and word beginnings with their log-odds, and a logistic regression of
 two numbers (strongest hit, count of hits) gives the score.
 
-All is learned from at most ``SAMPLE_ROWS`` labelled training rows, chosen by hash; texts
-alone enter a score. Null and empty texts are scored as texts without hits. Repeated rows
+The letter trigrams are counted over all documents; lexicon and regression are learned from
+at most ``SAMPLE_ROWS`` labelled training rows, chosen by hash. Texts alone enter a score. Null and empty texts are scored as texts without hits. Repeated rows
 get equal scores; without training labels every score is 0. Other columns are not looked at.
 """
 
@@ -24,11 +24,11 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, functions as F
 from pyspark.sql.functions import pandas_udf
 
+from roadpulse.llm.common import pieces
 from roadpulse.session import settle
 
 SAMPLE_ROWS = 20_000
-LEXICON_SIZE = 4000
-SUPPORT, PURITY, LEAST_DOCS = 0.01, 0.9, 4
+PURITY, LEAST_DOCS = 0.9, 4
 CACHE_ENTRIES = 200_000
 # Letters that a character is used for.
 LOOKS_LIKE = {
@@ -136,19 +136,33 @@ class Reader:
         return (max(hits), math.log1p(len(hits))) if hits else (0.0, 0.0)
 
 
-def _counts(rows: DataFrame, work) -> dict:
-    """Sum the (key, n) pairs that ``work`` makes of lists of texts."""
-    def run(batches):
-        total = Counter()
-        for batch in batches:
-            total.update(work(batch.column(0).to_pylist()))
-        yield pa.record_batch([pa.array(list(total), pa.string()), pa.array(list(total.values()), pa.int64())], names=["key", "n"])
-    return rows.select("text").mapInArrow(run, "key string, n bigint").groupBy("key").agg(F.sum("n").alias("n"))
+def _table(total: Counter) -> pa.RecordBatch:
+    return pa.record_batch([pa.array(list(total), pa.string()), pa.array(list(total.values()), pa.int64())], names=["key", "n"])
+
 
+def _summed(rows: DataFrame, run) -> DataFrame:
+    """Sum the (key, n) pairs that ``run`` makes of batches of texts."""
+    return rows.select(F.coalesce("text", F.lit("")).alias("text")).mapInArrow(run, "key string, n bigint").groupBy("key").agg(F.sum("n").alias("n"))
 
-def _letters(texts: list[str]) -> Counter:
+
+def trigram_counts(docs: DataFrame) -> DataFrame:
+    """(key, n): letter trigrams of the words of all documents."""
+    def run(batches):
+        words, total = Counter(), Counter()
+        for piece in pieces(batches):
+            for text in piece.column(0).to_pylist():
+                words.update(text.lower().split())
+            if len(words) > CACHE_ENTRIES:
+                total.update(_letters(words))
+                words.clear()
+        total.update(_letters(words))
+        yield _table(total)
+    return _summed(docs, run)
+
+
+def _letters(words: Counter) -> Counter:
     out = Counter()
-    for word, n in Counter(w for t in texts for w in t.lower().split()).items():
+    for word, n in words.items():
         word = word.strip(OUTER)
         if word and set(word) <= _LETTERS:
             padded = "^^" + word + "$"
@@ -157,11 +171,15 @@ def _letters(texts: list[str]) -> Counter:
     return out
 
 
-def _seen(texts: list[str]) -> Counter:
-    out = Counter()
-    for text in set(texts):
-        out.update({f for w in {w.strip(OUTER) for w in text.lower().split()} if len(w) > 2 for f in features(w)})
-    return out
+def _seen(rows: DataFrame) -> DataFrame:
+    """(key, n): in how many rows a word or beginning is; equal texts of a batch count once."""
+    def run(batches):
+        total = Counter()
+        for batch in batches:
+            for text in set(batch.column(0).to_pylist()):
+                total.update({f for w in {w.strip(OUTER) for w in text.lower().split()} if len(w) > 2 for f in features(w)})
+        yield _table(total)
+    return _summed(rows, run)
 
 
 def _logistic(x: np.ndarray, y: np.ndarray, ridge: float = 1.0) -> np.ndarray:
@@ -176,26 +194,27 @@ def _logistic(x: np.ndarray, y: np.ndarray, ridge: float = 1.0) -> np.ndarray:
     return w
 
 
-def _lexicon(toxic: dict[str, int], clean: dict[str, int], n_toxic: int, n_clean: int) -> dict[str, float]:
-    """Words and beginnings that speak for toxicity. A beginning counts where it says more
-    than any single word under it, and only the longest of equally common ones."""
-    under: dict[str, int] = {}
-    for word, n in toxic.items():
-        if word[0] != "^":
-            for f in features(word)[1:]:
-                under[f] = max(under.get(f, 0), n)
-    out = {}
-    for f, n in toxic.items():
-        against = clean.get(f, 0)
-        share, other = n / n_toxic, against / max(n_clean, 1)
-        if share / (share + other) < PURITY or n < LEAST_DOCS:
-            continue
-        if f[0] == "^":
-            longer = max((m for g, m in toxic.items() if len(g) == len(f) + 1 and g.startswith(f)), default=0)
-            if n < 1.5 * under.get(f, 0) or longer >= 0.9 * n:
-                continue
-        out[f] = math.log((share + 0.5 / n_toxic) / (other + 0.5 / max(n_clean, 1)))
-    return out
+def lexicon(rows: DataFrame, n_toxic: int, n_clean: int) -> dict[str, float]:
+    """All words and beginnings that speak for toxicity, of the (bounded) labelled rows.
+
+    A beginning counts where it says more than any single word under it, and only the
+    longest of equally common ones.
+    """
+    toxic = settle(_seen(rows.where("toxic = 1")), "toxic_words")
+    clean = _seen(rows.where("toxic = 0")).select(F.col("key").alias("c_key"), F.col("n").alias("against"))
+    beginning = F.col("key").startswith("^")
+    sizes = F.when(F.length("key") >= 6, F.sequence(F.lit(4), F.least(F.length("key") - 2, F.lit(6))))
+    under = toxic.where(~beginning).select(F.explode(sizes).alias("size"), "key", "n").select(
+        F.expr("concat('^', substr(key, 1, size))").alias("b_key"), F.col("n").alias("under"), F.lit(None).cast("bigint").alias("longer"))
+    longer = toxic.where(beginning).select(
+        F.expr("substr(key, 1, length(key) - 1)").alias("b_key"), F.lit(None).cast("bigint").alias("under"), F.col("n").alias("longer"))
+    rivals = under.unionByName(longer).groupBy("b_key").agg(F.max("under").alias("under"), F.max("longer").alias("longer"))
+    share, other = F.col("n") / n_toxic, F.coalesce("against", F.lit(0)) / max(n_clean, 1)
+    counted = toxic.where(F.col("n") >= LEAST_DOCS).join(clean, F.col("key") == F.col("c_key"), "left").where(share / (share + other) >= PURITY)
+    kept = counted.join(rivals, F.col("key") == F.col("b_key"), "left").where(
+        ~beginning | ((F.col("n") >= 1.5 * F.coalesce("under", F.lit(0))) & (F.coalesce("longer", F.lit(0)) < 0.9 * F.col("n"))))
+    weight = F.log((share + 0.5 / n_toxic) / (other + 0.5 / max(n_clean, 1)))
+    return {r["key"]: r["weight"] for r in kept.select("key", weight.alias("weight")).collect()}
 
 
 def learn(docs: DataFrame, labels: DataFrame, limit: int = SAMPLE_ROWS) -> tuple[Reader, np.ndarray]:
@@ -204,19 +223,12 @@ def learn(docs: DataFrame, labels: DataFrame, limit: int = SAMPLE_ROWS) -> tuple
     n_toxic, n_clean = sizes.get(1, 0), sizes.get(0, 0)
     if not n_toxic:
         return Reader({}, 0.0, {}), np.array([-30.0, 0.0, 0.0])
-    grams = {r["key"]: r["n"] for r in _counts(rows, _letters).collect()}  # of 28 signs: at most 22 000
+    grams = {r["key"]: r["n"] for r in trigram_counts(docs).collect()}  # of 28 signs: at most 22 000
     contexts = Counter()
     for g, n in grams.items():
         contexts[g[:2]] += n
     trigrams = {g: math.log((n + 0.1) / (contexts[g[:2]] + 2.8)) for g, n in grams.items()}
-    common = _counts(rows.where("toxic = 1"), _seen).where(F.col("n") >= max(LEAST_DOCS, SUPPORT * n_toxic))
-    toxic = {r["key"]: r["n"] for r in common.orderBy(F.desc("n"), "key").limit(LEXICON_SIZE).collect()}
-    clean = {}
-    if n_clean:
-        names = rows.sparkSession.createDataFrame([(k,) for k in toxic] or [("",)], "k string")
-        clean = {r["key"]: r["n"] for r in _counts(rows.where("toxic = 0"), _seen).join(
-            F.broadcast(names), F.col("key") == F.col("k"), "left_semi").collect()}
-    reader = Reader(trigrams, math.log(1e-4), _lexicon(toxic, clean, n_toxic, n_clean))
+    reader = Reader(trigrams, math.log(1e-4), lexicon(rows, n_toxic, n_clean))
 
     def evidence(batches):
         for batch in batches:

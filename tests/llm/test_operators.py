@@ -345,6 +345,28 @@ def test_toxicity(spark):
     assert toxicity.score_documents(docs.limit(0), table).collect() == []
 
 
+def test_toxic_lexicon_keeps_rare_words(spark):
+    rng = random.Random(5)
+    common = [f"plain{i}" for i in range(5000)]
+    rows = [(" ".join(rng.sample(common, 1000)) + (" vermin" if i < 5 else " idiot"), 1) for i in range(600)]
+    rows += [(" ".join(rng.sample(common, 1000)), 0) for _ in range(600)]
+    found = toxicity.lexicon(spark.createDataFrame(rows, "text string, toxic int"), 600, 600)
+    assert {"vermin", "idiot"} <= set(found) and not any("plain" in f for f in found)
+
+
+def test_trigrams_of_all_documents(spark, docs, texts):
+    want = collections.Counter()
+    for _, text in texts:
+        for word in (text or "").lower().split():
+            word = word.strip(toxicity.OUTER)
+            if word and set(word) <= set("abcdefghijklmnopqrstuvwxyz"):
+                want.update(("^^" + word + "$")[i:i + 3] for i in range(len(word) + 1))
+    assert {r["key"]: r["n"] for r in toxicity.trigram_counts(docs).collect()} == want
+    table = spark.createDataFrame([(0, 1, 1), (2, 1, 0)], "doc_id bigint, quality int, toxic int")
+    reader, _ = toxicity.learn(docs.where("doc_id is not null"), table)
+    assert "^^g" in reader.trigrams  # only in rows without a label
+
+
 def test_secret_scan(spark):
     rng = random.Random(6)
     rows = []

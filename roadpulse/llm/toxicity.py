@@ -4,7 +4,8 @@ Written words reach the reader through a channel that swaps letters for look-ali
 stretches them and puts separators between them. A suspicious token becomes a lattice: each
 character offers the letters it may stand for, a run may shrink, a separator may vanish.
 Viterbi picks the reading that is likeliest under a letter-trigram model and the channel's
-costs; an unsuspicious token has one path and is its own reading. Restored words are scored
+costs; an unsuspicious token has one path and is its own reading. Short tokens in a row make
+one more lattice, in which a space may vanish or end a word. Restored words are scored
 by a lexicon of words and word beginnings with their log-odds, and a logistic regression of
 two numbers (strongest hit, count of hits) gives the score.
 
@@ -16,6 +17,7 @@ get equal scores; without training labels every score is 0. Other columns are no
 from __future__ import annotations
 
 import math
+import re
 from collections import Counter
 
 import numpy as np
@@ -39,6 +41,15 @@ SEPARATORS = set(".-_*~'`^/\\,: ")
 OUTER = '.,;:!?"\'()[]{}<>#*$%&|~`«»“”…-_'
 SWAP, DROP, SHRINK, DOUBLE = -2.0, -1.0, -0.5, -1.5
 _LETTERS = set("abcdefghijklmnopqrstuvwxyz")
+# Short tokens in a row, of at most PART signs each, are also read over their spaces.
+PART, KNOWN = 5, 3.0
+_SIGN = "[a-z%s]" % re.escape("".join(sorted(set(LOOKS_LIKE) | SEPARATORS - {" "} | set(";?!\"()"))))
+_WINDOW = re.compile(rf"(?<!\S){_SIGN}{{1,{PART}}}(?:\s+{_SIGN}{{1,{PART}}}(?!\S))+")
+_GAP, _REPEATED, _NO_LETTER = re.compile(r"\s+"), re.compile(r"([a-z])\1+"), re.compile("[^a-z\0]+")
+_CLOSING = re.compile(r"""(?<=\S)[.,;:?!"')]+(?=\s|$)|(?<!\S)["'(]+(?=[a-z])""")
+# Look-alikes as one sign (l as i, which some of them share with it), or none.
+_CANON = str.maketrans({c: "i" if "i" in to or "l" in to else to for c, to in LOOKS_LIKE.items()} | {"l": "i"})
+_BARE = str.maketrans({"l": "i"})
 
 
 def training_rows(docs: DataFrame, labels: DataFrame, limit: int = SAMPLE_ROWS) -> DataFrame:
@@ -63,6 +74,13 @@ class Reader:
     def __init__(self, trigrams: dict[str, float], floor: float, lexicon: dict[str, float]):
         self.trigrams, self.floor, self.lexicon = trigrams, floor, lexicon
         self.weights: dict[str, float] = {}
+        self.windows: dict[str, tuple[float, ...]] = {}
+        self.beginnings = {f[:n] for f in lexicon if f[0] != "^" for n in range(1, len(f) + 1)}
+        self.starts: dict[int, set[str]] = {}
+        for start in {_squeezed(f, _CANON)[:6] for f in lexicon}:
+            if start:
+                self.starts.setdefault(len(start), set()).add(start)
+        self.table: np.ndarray | None = None
 
     def suspicious(self, word: str) -> bool:
         letters = sum(c in _LETTERS for c in word)
@@ -71,8 +89,13 @@ class Reader:
         return letters < len(word) or any(word[i] == word[i + 1] == word[i + 2] for i in range(len(word) - 2))
 
     def restore(self, token: str) -> str:
-        """The likeliest reading of a token: a Viterbi search over its lattice."""
-        best = {0: {"^^": (0.0, "")}}
+        """The likeliest reading of a token: a Viterbi search over its lattice.
+
+        A gap of spaces vanishes or ends a word; where there is one, a state also carries
+        the word begun so far while a lexicon word begins so, and a whole one gains ``KNOWN``.
+        """
+        spaced = " " in token
+        best = {0: {("^^", "" if spaced else None): (0.0, None)}}
         for i in range(len(token)):
             states = best.pop(i, None)
             if not states:
@@ -80,23 +103,43 @@ class Reader:
             c, run = token[i], 1
             while i + run < len(token) and token[i + run] == c:
                 run += 1
-            letters = ([(c, 0.0)] if c in _LETTERS else []) + [(x, SWAP) for x in LOOKS_LIKE.get(c, "")]
-            steps = [(i + 1, x, cost) for x, cost in letters]
-            if run > 1:
-                steps += [(i + run, x, cost + SHRINK) for x, cost in letters] + [(i + run, x + x, cost + DOUBLE) for x, cost in letters]
-            if c in SEPARATORS or c not in _LETTERS:
-                steps.append((i + 1, "", DROP if c in SEPARATORS else 3 * SWAP))
+            if c == " ":
+                steps = [(i + run, "", DROP * run), (i + run, " ", 0.0)]
+            else:
+                letters = ([(c, 0.0)] if c in _LETTERS else []) + [(x, SWAP) for x in LOOKS_LIKE.get(c, "")]
+                steps = [(i + 1, x, cost) for x, cost in letters]
+                if run > 1:
+                    steps += [(i + run, x, cost + SHRINK) for x, cost in letters] + [(i + run, x + x, cost + DOUBLE) for x, cost in letters]
+                if c in SEPARATORS or c not in _LETTERS:
+                    steps.append((i + 1, "", DROP if c in SEPARATORS else 3 * SWAP))
             for end, added, cost in steps:
                 after = best.setdefault(end, {})
-                for last, (score, text) in states.items():
+                for (last, begun), (score, path) in states.items():
                     total, context = score + cost, last
-                    for x in added:
-                        total += self.trigrams.get(context + x, self.floor)
-                        context = context[1] + x
-                    if context not in after or after[context][0] < total:
-                        after[context] = (total, text + added)
+                    if added == " ":
+                        if context == "^^":  # nothing but dropped signs so far
+                            continue
+                        total, context, begun = self._ended(total, context, begun), "^^", ""
+                    else:
+                        for x in added:
+                            total += self.trigrams.get(context + x, self.floor)
+                            context = context[1] + x
+                        if added and begun is not None:
+                            begun = begun + added if begun + added in self.beginnings else None
+                    if (context, begun) not in after or after[context, begun][0] < total:
+                        after[context, begun] = (total, (path, added) if added else path)
         ends = best.get(len(token), {})
-        return max(((s + self.trigrams.get(c + "$", self.floor), t) for c, (s, t) in ends.items()), default=(0.0, token))[1]
+        if not ends:
+            return token
+        path = max(((self._ended(s, c, w), p) for (c, w), (s, p) in ends.items()), key=lambda x: x[0])[1]
+        out = []
+        while path:
+            path, added = path
+            out.append(added)
+        return "".join(reversed(out))
+
+    def _ended(self, score: float, context: str, begun: str | None) -> float:
+        return score + self.trigrams.get(context + "$", self.floor) + (KNOWN if begun and begun in self.lexicon else 0.0)
 
     def found(self, word: str) -> set[str]:
         return {f for f in features(word) if f in self.lexicon}
@@ -118,24 +161,69 @@ class Reader:
             self.weights[token] = known
         return known
 
-    def tokens(self, text: str) -> list[str]:
-        """Lower-case tokens, and joined letters where three or more stand alone in a row."""
-        tokens = text.lower().split()
-        alone, spelled = [], []
-        for i, token in enumerate([*tokens, "  "]):
-            if len(token) == 1:
-                alone.append(token)
-            elif alone:
-                if len(alone) > 2:
-                    spelled.append("".join(alone))
-                alone = []
-        return tokens + spelled
+    def may_hide(self, windows: list[str]) -> set[int]:
+        """Which windows a lexicon word may start in: look-alikes as one sign, or dropped,
+        repeated letters once. Saves decoding the others."""
+        if self.table is None:
+            self.table = np.zeros(27 ** 4, bool)
+            for start in set().union(*self.starts.values()):
+                code, width = 0, 27 ** max(0, 4 - len(start))
+                for c in start[:4]:
+                    code = code * 27 + ord(c) - 96
+                self.table[code * width:(code + 1) * width] = True
+        out: set[int] = set()
+        joined, before = "\0".join(windows), None
+        for signs in (_CANON, _BARE):
+            c = _squeezed(joined, signs)
+            if c == before:
+                break
+            before = c
+            codes = np.frombuffer(c.encode() + bytes(3), np.uint8).astype(np.int32)
+            codes -= np.where(codes, 96, 0).astype(np.int32)
+            at = np.flatnonzero(self.table[((codes[:-3] * 27 + codes[1:-2]) * 27 + codes[2:-1]) * 27 + codes[3:]])
+            if len(at):
+                for i, window in zip(at.tolist(), np.searchsorted(np.flatnonzero(codes[:-3] == 0), at).tolist()):
+                    if window not in out and any(c[i:i + size] in starts for size, starts in self.starts.items()):
+                        out.add(window)
+        return out
+
+    def spelled(self, window: str) -> tuple[float, ...]:
+        """Weights of the words that short tokens make when read over their spaces."""
+        known = self.windows.get(window)
+        if known is None:
+            if len(self.windows) > CACHE_ENTRIES:
+                self.windows.clear()
+            known = ()
+            if any(c in _LETTERS for c in window):
+                apart = Counter(w for t in window.split() for w in self.readings(t))
+                words = Counter(self.restore(_CLOSING.sub(_blank, window)).split()) - apart
+                known = tuple(w for w in (max((self.lexicon[f] for f in self.found(x)), default=0.0) for x in words.elements()) if w)
+            self.windows[window] = known
+        return known
 
     def evidence(self, text: str) -> tuple[float, float]:
-        hits = [w for w in map(self.weight, self.tokens(text)) if w]
+        text = text.lower()
+        known = self.weights
+        hits = [w for t in text.split() if (w := known[t] if t in known else self.weight(t))]
+        windows = _WINDOW.findall(text) if self.lexicon else []
+        if windows:
+            for i in sorted(self.may_hide(windows)):
+                hits += self.spelled(_GAP.sub(_gap, windows[i]))
         return (max(hits), math.log1p(len(hits))) if hits else (0.0, 0.0)
 
 
+def _squeezed(text: str, signs: dict) -> str:
+    return _REPEATED.sub(r"\1", _NO_LETTER.sub("", text.translate(signs)))
+
+
+def _gap(found) -> str:
+    return " " if len(found[0]) == 1 else "  "
+
+
+def _blank(found) -> str:
+    return " " * len(found[0])
+
+
 def _table(total: Counter) -> pa.RecordBatch:
     return pa.record_batch([pa.array(list(total), pa.string()), pa.array(list(total.values()), pa.int64())], names=["key", "n"])
 

@@ -345,6 +345,23 @@ def test_toxicity(spark):
     assert toxicity.score_documents(docs.limit(0), table).collect() == []
 
 
+def test_words_spelled_over_spaces(spark):
+    rng = random.Random(4)
+    vocab = ["what", "idea", "you", "now", "a", "it", "is", "the", "so", "am", "i", "house", "river", "green", "to", "in", "of", "table", "said", "did"]
+    rows = [(i, " ".join(rng.choice(vocab) for _ in range(40)) + (" " + rng.choice(["idiot", "stupid"]) if i % 3 == 0 else "")) for i in range(300)]
+    toxic = ["what a s t u p i d idea", "s t u p i d i d i o t", "s t u p i d  i d i o t", "you i d i o t.", "you id iot now", "the stup id house",
+             "it is s t u p ! d", "what a 5 t u p 1 d idea", "so s.t u.p i.d", "the stupi d river", "(i d i o t) green"]
+    clean = ["it is what it is so i am in it", "a i o it is so", "i d the i o t", "what is a i d in the house", "1 2 3 4 5", "did i so it to", "x y z"]
+    docs = spark.createDataFrame(rows + [(1000 + i, t) for i, t in enumerate(toxic + clean)], "doc_id bigint, text string")
+    labels = spark.createDataFrame([(i, 1, int(i % 3 == 0)) for i in range(300)], "doc_id bigint, quality int, toxic int")
+    reader, _ = toxicity.learn(docs, labels)
+    assert [t for t in toxic if not reader.evidence(t)[0]] == []
+    assert [t for t in clean if reader.evidence(t)[0]] == []
+    assert reader.evidence("s t u p i d i d i o t")[1] == math.log1p(2)
+    got = {r["doc_id"]: r["predicted"] for r in toxicity.score_documents(docs, labels).where("doc_id >= 1000").collect()}
+    assert [got[1000 + i] for i in range(len(got))] == [1] * len(toxic) + [0] * len(clean)
+
+
 def test_toxic_lexicon_keeps_rare_words(spark):
     rng = random.Random(5)
     common = [f"plain{i}" for i in range(5000)]

@@ -77,7 +77,7 @@ class Reader:
         self.windows: dict[str, tuple[float, ...]] = {}
         self.beginnings = {f[:n] for f in lexicon if f[0] != "^" for n in range(1, len(f) + 1)}
         self.starts: dict[int, set[str]] = {}
-        for start in {_squeezed(f, _CANON)[:6] for f in lexicon}:
+        for start in {_squeezed(f, _CANON)[:PART + 1] for f in lexicon}:
             if start:
                 self.starts.setdefault(len(start), set()).add(start)
         self.table: np.ndarray | None = None
@@ -162,8 +162,8 @@ class Reader:
         return known
 
     def may_hide(self, windows: list[str]) -> set[int]:
-        """Which windows a lexicon word may start in: look-alikes as one sign, or dropped,
-        repeated letters once. Saves decoding the others."""
+        """Which windows may hold a lexicon word over a gap: look-alikes as one sign, or dropped,
+        repeated letters once; not where all of it is inside a token. Saves decoding the others."""
         if self.table is None:
             self.table = np.zeros(27 ** 4, bool)
             for start in set().union(*self.starts.values()):
@@ -181,10 +181,15 @@ class Reader:
             codes = np.frombuffer(c.encode() + bytes(3), np.uint8).astype(np.int32)
             codes -= np.where(codes, 96, 0).astype(np.int32)
             at = np.flatnonzero(self.table[((codes[:-3] * 27 + codes[1:-2]) * 27 + codes[2:-1]) * 27 + codes[3:]])
-            if len(at):
-                for i, window in zip(at.tolist(), np.searchsorted(np.flatnonzero(codes[:-3] == 0), at).tolist()):
-                    if window not in out and any(c[i:i + size] in starts for size, starts in self.starts.items()):
-                        out.add(window)
+            hits: dict[int, Counter] = {}
+            for i, window in zip(at.tolist(), np.searchsorted(np.flatnonzero(codes[:-3] == 0), at).tolist()):
+                for size, starts in self.starts.items():
+                    if c[i:i + size] in starts:
+                        hits.setdefault(window, Counter())[c[i:i + size]] += 1
+            for window, found in hits.items():
+                tokens = [_squeezed(t, signs) for t in windows[window].split()]
+                if any(n > sum(t.count(x) for t in tokens) for x, n in found.items()):
+                    out.add(window)
         return out
 
     def spelled(self, window: str) -> tuple[float, ...]:

@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
-from roadpulse.llm import mixing, neighbours, packing, quality_rules, recompression, secret_scan, simhash, suffix_dedup, suffix_tree_lm, toxicity
+from roadpulse.llm import mixing, neighbours, packing, quality_rules, recompression, secret_scan, simhash, suffix_dedup, suffix_tree_lm, toxicity, word_table
 from roadpulse.llm.common import documents
 
 QUERIES = {}
@@ -72,3 +72,8 @@ def op10_crf_secrets(spark: SparkSession, sf_dir: str) -> DataFrame:
 @query
 def op5_suffix_tree_lm(spark: SparkSession, sf_dir: str) -> DataFrame:
     return suffix_tree_lm.score_texts(documents(spark, sf_dir))
+
+
+@query
+def op12_word_table_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return word_table.digests(documents(spark, sf_dir))

@@ -33,7 +33,7 @@ from pyspark.sql import DataFrame, functions as F
 from roadpulse.llm.common import NULL_ID, id_and_text, ids_of, pieces
 
 VOCABULARY = "byte_bpe_50k.json"
-CHUNK_BYTES = 16 << 20     # text of one chunk
+CHUNK_BYTES = 8 << 20      # text of one chunk
 TASK_BYTES = 8 << 20       # input bytes for each shuffle partition
 CONTRACTIONS = "'s|'t|'re|'ve|'m|'ll|'d"
 CHECKED_TO = "՗"      # up to here ``re`` and the tokenizer agree on letters, digits and spaces (tested)
@@ -275,11 +275,14 @@ def per_document(docs: DataFrame, columns: str, work: Callable, folder: str | No
     answers = split.mapInArrow(encoding(folder), "key bigint, part int, data binary").repartition(parts, "key")
     schema = f"doc_id bigint, {columns}"
     fields = _arrow_schema(docs.sparkSession, schema)
+    tables: list[list[bytes]] = []   # filled once in a task
 
     def finish(key, chunk: pa.Table, ids: pa.Table) -> pa.Table:
         out = []
         if key[0].as_py() >= 0:
-            table = piece_table(tokenizer(folder))
+            if not tables:
+                tables.append(piece_table(tokenizer(folder)))
+            table = tables[0]
             replies = list(zip(ids["part"].to_pylist(), ids["data"].to_pylist()))
             out = [(None if doc == NULL_ID else doc, *work(found, table))
                    for doc, found in chunk_documents(unpacked(chunk["data"][0].as_py()), replies)]

@@ -21,6 +21,7 @@ from __future__ import annotations
 
 import hashlib
 import math
+import os
 import re
 import zlib
 from collections.abc import Callable, Iterable, Iterator
@@ -42,6 +43,7 @@ CHECKED_TO = "՗"      # up to here ``re`` and the tokenizer agree on letters, d
 def tokenizer(folder: str | None = None, name: str = VOCABULARY):
     import public_tokenizers
     from tokenizers import Tokenizer
+    os.environ.setdefault("TOKENIZERS_PARALLELISM", "false")   # Spark deals out the cores
     found = Tokenizer.from_file(f"{folder}/{name}" if folder else public_tokenizers.path(name))
     found.no_truncation()
     found.no_padding()
@@ -112,8 +114,11 @@ class Cuts(dict):
     def __init__(self, slots: Slots):
         self.slots = slots
 
-    def __missing__(self, cut: str) -> list[int]:
-        found = [self.slots[w] for w in self.slots.split(cut)]
+    def __missing__(self, cut: str) -> tuple[int, ...]:
+        if cut[1:].isalpha() and cut[0] == " " and self.slots.split.checked(cut):   # the usual case: one word of letters
+            found = (self.slots[cut],)
+        else:
+            found = tuple([self.slots[w] for w in self.slots.split(cut)])
         if len(cut) <= self.LONGEST:
             self[cut] = found
         return found
@@ -220,7 +225,7 @@ def encoding(folder: str | None):
                     continue
                 words = unpacked(data.as_py()).column(0).to_pylist()
                 fresh = [w for w in words if w not in known]
-                for word, found in zip(fresh, bpe.encode_batch(fresh, add_special_tokens=False)):
+                for word, found in zip(fresh, bpe.encode_batch_fast(fresh, add_special_tokens=False)):
                     known[word] = np.array(found.ids, "<u4")
                 ids = [known[w] for w in words]
                 answer = packed(count=pa.array([planes(np.array([len(i) for i in ids]))], pa.large_binary()),

@@ -56,7 +56,10 @@ def test_splitter_agrees_with_the_tokenizer_on_the_checked_range():
     for code in range(ord(word_table.CHECKED_TO) + 1):
         c = chr(code)
         for text in (f"a{c}1", f"!{c}!", f" {c}{c}a", f"{c}'s {c}", f"{c}  {c}"):
-            assert split(text) == [text[a:b] for _, (a, b) in bpe.pre_tokenizer.pre_tokenize_str(text)], text
+            whole = [text[a:b] for _, (a, b) in bpe.pre_tokenizer.pre_tokenize_str(text)]
+            slots = word_table.Slots(split)
+            numbers = slots.of(text).tolist()
+            assert split(text) == whole and [list(slots)[i] for i in numbers] == whole, text
     assert "".join(split("ab <|endoftext|>c")) == "ab <|endoftext|>c" and len(split("<|endoftext|>")) > 1
 
 

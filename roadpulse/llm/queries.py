@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
-from roadpulse.llm import alignment, mixing, neighbours, packing, quality_rules, recompression, secret_scan, simhash, suffix_dedup, suffix_tree_lm, toxicity, word_table
+from roadpulse.llm import alignment, conversation_repair, mixing, neighbours, packing, quality_rules, recompression, secret_scan, simhash, suffix_dedup, suffix_tree_lm, toxicity, word_table
 from roadpulse.llm.common import documents
 
 QUERIES = {}
@@ -82,3 +82,8 @@ def op12_word_table_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
 @query
 def op11_lockstep_alignment(spark: SparkSession, sf_dir: str) -> DataFrame:
     return alignment.digests(documents(spark, sf_dir))
+
+
+@query
+def op13_bidirectional_repair(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return conversation_repair.repair_report(spark.read.parquet(f"{sf_dir}/conversations.parquet"))

@@ -276,7 +276,7 @@ def joined(parts: pd.DataFrame) -> pd.DataFrame:
 def totals(rows: DataFrame, block: int = BLOCK) -> DataFrame:
     """Faults, cheapest cost and audit of every conversation that has rows (after ``damaged`` or as they are)."""
     narrow = marked(rows)
-    parts = shuffle_parts(narrow)
+    parts = shuffle_parts(rows)   # Spark's guess of a join's size would be their product
     order = ("conv_id", "turn", "digest")
     segments = narrow.repartitionByRange(parts, *order).sortWithinPartitions(*order).mapInArrow(segmenting(block), SEGMENT)
     whole = segments.where("whole").select(

@@ -22,20 +22,24 @@ kept as distinct id pairs with multiplicities.
 
 from __future__ import annotations
 
+import base64
 import hashlib
 from collections.abc import Iterable, Iterator
+from itertools import chain, islice
 
 import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame, functions as F
 
 from roadpulse.llm.common import NULL_ID, id_and_text, ids_of, pieces
-from roadpulse.llm.word_table import Slots, Splitter, chunk_number, from_planes, packed, piece_table, planes, ragged, tokenizer, unpacked
+from roadpulse.llm.word_table import Splitter, chunk_number, from_planes, packed, piece_table, planes, ragged, tokenizer, unpacked
 from roadpulse.session import settle
 
 PIECES = "piece_bpe_32k.model"
+TWIN = "byte_bpe_50k.tiktoken"   # the ranks of A's merges
 CHUNK_BYTES = 4 << 20
 LANE = 256                # tokens of A in a lane, about
+REMEMBERED = 300_000      # cuts whose ids a task keeps
 BIG_GROUP = 1 << 14       # links of a group above which only distinct pairs are written down
 
 
@@ -44,6 +48,7 @@ class Pair:
 
     def __init__(self, folder: str | None = None):
         import public_tokenizers
+        import tiktoken
         from sentencepiece import SentencePieceProcessor
         self.a = tokenizer(folder)
         self.a.encode_special_tokens = True
@@ -51,32 +56,68 @@ class Pair:
         self.b = SentencePieceProcessor(model_file=f"{folder}/{PIECES}" if folder else public_tokenizers.path(PIECES))
         self.a_bytes = piece_table(self.a)
         self.b_bytes = [self._piece(i) for i in range(self.b.get_piece_size())]
+        if any("▁" in self.b.id_to_piece(i).lstrip("▁") for i in range(self.b.get_piece_size())):
+            raise ValueError("pieces that go on behind a space cannot be encoded cut by cut")
+        with open(f"{folder}/{TWIN}" if folder else public_tokenizers.path(TWIN), "rb") as lines:
+            ranks = {base64.b64decode(piece): int(rank) for piece, rank in map(bytes.split, lines)}
+        self.plain = tiktoken.Encoding("twin", pat_str=public_tokenizers.PATTERN, mergeable_ranks=ranks, special_tokens={})._encode_single_piece
+        self._forget()
         self.a_size, self.b_size = (np.array([len(t) for t in table], np.int64) for table in (self.a_bytes, self.b_bytes))
 
+    def _forget(self) -> None:
+        self.known, self.flat, self.many, self.sound = Numbers(), ([], []), ([], []), []
+
     def _piece(self, i: int) -> bytes:
         piece = self.b.id_to_piece(i)
         return bytes([int(piece[3:5], 16)]) if self.b.is_byte(i) else piece.replace("▁", " ").encode()
 
-    def encode_a(self, texts: list[str]) -> list[np.ndarray]:
-        """Every distinct word of the chunk is encoded once."""
-        slots = Slots(self.split)
-        codes = [slots.of(" " + text) for text in texts]
-        found = [e.ids for e in self.a.encode_batch_fast(list(slots), add_special_tokens=False)]
-        many = np.array([len(f) for f in found], np.int64)
-        flat = np.array([i for f in found for i in f], np.int64)
-        start = np.cumsum(many) - many
-        return [flat[ragged(start[c], many[c])] for c in codes]
+    def _encode_a(self, cuts: list[str]) -> list[list[int]]:
+        """One word of letters goes straight to the merges, in the vocabulary's faster twin; the rest through the tokenizer."""
+        plain, checked = self.plain, self.split.checked
+        found = [plain(c.encode()) if c[1:].isalpha() and checked(c) else None for c in cuts]
+        rest = [k for k, f in enumerate(found) if f is None]
+        for k, e in zip(rest, self.a.encode_batch_fast([cuts[k] for k in rest], add_special_tokens=False)):
+            found[k] = e.ids
+        return found
+
+    def _learn(self, fresh: list[str]) -> None:
+        """Encode cuts that were not seen before; A's words and B's pieces never cross the space before a cut."""
+        both = self._encode_a(fresh), self.b.encode([c[1:] for c in fresh], num_threads=1)
+        for side, found in enumerate(both):
+            self.many[side].append(np.fromiter(map(len, found), np.int64, len(found)))
+            self.flat[side].append(np.fromiter(chain.from_iterable(found), np.int32))
+        self.sound.append(np.array([all(b"".join([table[i] for i in ids]) == c.encode() for ids, table in ((a, self.a_bytes), (b, self.b_bytes)))
+                                    for c, a, b in zip(fresh, *both)], bool))
 
     def encode(self, texts: list[str]) -> tuple[list[np.ndarray], list[np.ndarray]]:
         """Ids of A and B of every text; none where a side does not give the bytes back."""
-        none = np.zeros(0, np.int64)
-        a_ids, b_ids = self.encode_a(texts), [np.array(i, np.int64) for i in self.b.encode(texts, num_threads=1)]
+        if len(self.known) > REMEMBERED:
+            self._forget()
+        cuts = [[" " + text] if text.endswith(" ") else self.split.cuts(" " + text)[1:] or [" " + text] for text in texts]
+        before = len(self.known)
+        own = np.fromiter(map(self.known.__getitem__, chain.from_iterable(cuts)), np.int64)
+        self._learn(list(islice(self.known, before, None)))
+        ends = np.cumsum([0, *map(len, cuts)])
+        self.sound[:] = [np.concatenate(self.sound)]
+        doubtful = np.concatenate([[0], np.cumsum(~self.sound[0][own])])[ends]
+        sides = []
+        for side in (0, 1):
+            many, flat = np.concatenate(self.many[side]), np.concatenate(self.flat[side])
+            self.many[side][:], self.flat[side][:] = [many], [flat]
+            ids, at = flat[ragged((np.cumsum(many) - many)[own], many[own])].astype(np.int64), np.concatenate([[0], np.cumsum(many[own])])[ends]
+            sides.append([ids[i:j] for i, j in zip(at, at[1:])])
         for k, text in enumerate(texts):
-            want = b" " + text.encode()
-            if not text or any(b"".join([table[i] for i in ids[k].tolist()]) != want
-                               for ids, table in ((a_ids, self.a_bytes), (b_ids, self.b_bytes))):
-                a_ids[k] = b_ids[k] = none
-        return a_ids, b_ids
+            if not text or doubtful[k + 1] > doubtful[k] and any(
+                    b"".join([table[i] for i in ids[k].tolist()]) != b" " + text.encode()
+                    for ids, table in zip(sides, (self.a_bytes, self.b_bytes))):
+                sides[0][k] = sides[1][k] = np.zeros(0, np.int64)
+        return sides[0], sides[1]
+
+
+class Numbers(dict):
+    def __missing__(self, cut: str) -> int:
+        number = self[cut] = len(self)
+        return number
 
 
 class Merged:
@@ -88,6 +129,8 @@ class Merged:
         # documents stand one after the other, so positions grow over the whole chunk and documents end at cuts
         self.a_end, self.b_end = np.cumsum(a_size[self.a]), np.cumsum(b_size[self.b])
         self.width = np.int64(len(b_size))
+        self.span = np.int64(len(a_size)) * self.width
+        self.weighted = False   # whether some links are written down with a multiplicity
         self._merge(*self._lanes(lane))
 
     def _lanes(self, lane: int) -> tuple[np.ndarray, ...]:
@@ -137,6 +180,7 @@ class Merged:
         count = (a1 - a0) * wide
         big = count > BIG_GROUP
         if big.any():
+            self.weighted = True
             for i in np.flatnonzero(big).tolist():
                 a, a_many = np.unique(self.a[a0[i]:a1[i]], return_counts=True)
                 b, b_many = np.unique(self.b[b0[i]:b1[i]], return_counts=True)
@@ -159,22 +203,36 @@ class Merged:
         a0, a1, b0, b1 = self.cuts
         return np.searchsorted(a0, self.a_from), (a1 - a0) * (b1 - b0)
 
-    def spelled(self, doc: int, bounds: np.ndarray) -> str:
-        """A document's groups as ``a1,a2|b1;a3|b2,b3``."""
-        a, b = list(map(str, self.a[self.a_from[doc]:self.a_from[doc + 1]].tolist())), list(map(str, self.b[self.b_from[doc]:self.b_from[doc + 1]].tolist()))
-        own = self.cuts[:, bounds[doc]:bounds[doc + 1]] - np.array([self.a_from[doc]] * 2 + [self.b_from[doc]] * 2)[:, None]
-        return ";".join([f"{a[i]}|{b[k]}" if j - i == 1 and m - k == 1 else f"{','.join(a[i:j])}|{','.join(b[k:m])}"
-                         for i, j, k, m in zip(*own.tolist())])
+    def spelled(self, words: list[str], a_count: int) -> Iterator[str]:
+        """Each document's groups as ``a1,a2|b1;a3|b2,b3``. ``words``: see ``spellings``."""
+        a0, a1, b0, b1 = self.cuts
+        shown = np.empty(len(self.a) + len(self.b), np.int64)   # tokens group by group, A before B
+        closing = np.zeros(len(shown), bool)
+        shown[np.arange(len(self.a)) + np.repeat(b0, a1 - a0)] = self.a
+        shown[np.arange(len(self.b)) + np.repeat(a1, b1 - b0)] = self.b + a_count
+        closing[a1 + b0 - 1] = closing[a1 + b1 - 1] = True
+        shown[closing] += len(words) // 2
+        ends = self.a_from + self.b_from
+        for i, j in zip(ends, ends[1:]):
+            yield "".join(map(words.__getitem__, shown[i:j].tolist()))[:-1]
 
     def document_pairs(self) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
         """(document, id pair, links) of every distinct pair of a document, in this order."""
         doc = np.searchsorted(self.a_from, self.link_at, side="right") - 1
-        order = np.lexsort((self.link_pair, doc))
-        doc, pair = doc[order], self.link_pair[order]
-        new = np.ones(len(doc), bool)
-        new[1:] = (doc[1:] != doc[:-1]) | (pair[1:] != pair[:-1])
-        at = np.flatnonzero(new)
-        return doc[at], pair[at], np.add.reduceat(self.link_many[order], at) if len(at) else np.zeros(0, np.int64)
+        key, span = doc * self.span + self.link_pair, self.span
+        if self.weighted:
+            order = np.argsort(key)
+            key, many = key[order], self.link_many[order]
+        else:
+            key, many = np.sort(key), self.link_many
+        at = np.flatnonzero(np.concatenate([[True], key[1:] != key[:-1]])[:len(key)])
+        return key[at] // span, key[at] % span, np.add.reduceat(many, at) if len(at) else np.zeros(0, np.int64)
+
+
+def spellings(a_count: int, b_count: int) -> list[str]:
+    """Decimal ids followed by a comma, and once more by the sign that ends a side of a group."""
+    ids = [*map(str, range(a_count)), *map(str, range(b_count))]
+    return [i + "," for i in ids] + [i + "|" for i in ids[:a_count]] + [i + ";" for i in ids[a_count:]]
 
 
 def _chunks(batches: Iterable[pa.RecordBatch], limit: int) -> Iterator[tuple[int, list[int], list[str]]]:
@@ -198,7 +256,7 @@ DIGEST_SCHEMA = ("doc_id bigint, n_a bigint, n_b bigint, n_groups bigint, n_link
 
 
 def _aligning(folder: str | None, chunk_bytes: int, lane: int):
-    def one(tokens: Pair, chunk: int, ids: list[int], texts: list[str]) -> pa.RecordBatch:
+    def one(tokens: Pair, words: list[str], chunk: int, ids: list[int], texts: list[str]) -> pa.RecordBatch:
         a_ids, b_ids = tokens.encode(texts)
         merged = Merged(a_ids, b_ids, tokens.a_size, tokens.b_size, lane)
         bounds, links = merged.groups()
@@ -209,8 +267,8 @@ def _aligning(folder: str | None, chunk_bytes: int, lane: int):
             doc_id=pa.array(ids, pa.int64()), n_a=pa.array([len(x) for x in a_ids], pa.int64()), n_b=pa.array([len(x) for x in b_ids], pa.int64()),
             n_groups=pa.array(np.diff(bounds)), n_links=pa.array(before[bounds[1:]] - before[bounds[:-1]]),
             pairs=pa.array(np.bincount(doc, minlength=len(ids))),
-            groups_sha256=pa.array([hashlib.sha256(merged.spelled(k, bounds).encode()).hexdigest() if len(a_ids[k]) else ""
-                                    for k in range(len(ids))], pa.string()))
+            groups_sha256=pa.array([hashlib.sha256(shown.encode()).hexdigest() if shown else ""
+                                    for shown in merged.spelled(words, len(tokens.a_bytes))], pa.string()))
         rest = packed(slot=pa.array([planes(slot)], pa.large_binary()), many=pa.array([planes(many)], pa.large_binary()))
         both = len(kept).to_bytes(8, "little") + kept + rest
         return pa.record_batch([pa.array([chunk], pa.int64()), pa.array([both], pa.binary()), pa.array([known], pa.list_(pa.int64())),
@@ -219,8 +277,9 @@ def _aligning(folder: str | None, chunk_bytes: int, lane: int):
 
     def run(batches):
         tokens = Pair(folder)
+        words = spellings(len(tokens.a_bytes), len(tokens.b_bytes))
         for chunk, ids, texts in _chunks(batches, chunk_bytes):
-            yield one(tokens, chunk, ids, texts)
+            yield one(tokens, words, chunk, ids, texts)
     return run
 
 

@@ -12,8 +12,9 @@ longer before a tick's state is final.
 from __future__ import annotations
 
 from collections.abc import Callable
+from contextlib import contextmanager
 
-from pyspark.sql import DataFrame, functions as F
+from pyspark.sql import DataFrame, SparkSession, functions as F
 from pyspark.sql.streaming import StreamingQuery
 
 from roadpulse.config import CLOSURE_FLAG, CityConfig, DEFAULT_CITY
@@ -21,6 +22,8 @@ from roadpulse.operators import congestion, dispatch, feed, features
 from roadpulse.operators.features import CoordinateMedians
 
 LATENESS_MINUTES = 60
+STATE_PROVIDER = "spark.sql.streaming.stateStore.providerClass"
+ROCKSDB = "org.apache.spark.sql.execution.streaming.state.RocksDBStateStoreProvider"
 
 
 def engineered_stream(raw: DataFrame, medians: CoordinateMedians, city: CityConfig = DEFAULT_CITY) -> DataFrame:
@@ -32,16 +35,32 @@ def arrivals(rows: DataFrame, lateness_minutes: int = LATENESS_MINUTES,
              city: CityConfig = DEFAULT_CITY) -> DataFrame:
     """Each reported id once, tagged with its arrival tick.
 
-    Identifiers are remembered only as long as the watermark allows repeats.
+    Identifiers are remembered only as long as the watermark allows repeats. A report without
+    an id repeats nothing, so every such row is kept.
     """
-    ticked = feed.with_tick_instant(feed.with_arrival_tick(rows, city), city)
-    return ticked.withWatermark("tick", f"{lateness_minutes} minutes").dropDuplicatesWithinWatermark(["id"])
+    ticked = arrival_ticks(rows, city)
+    named = ticked.where(F.col("id").isNotNull()).withWatermark("tick", f"{lateness_minutes} minutes")
+    return named.dropDuplicatesWithinWatermark(["id"]).unionByName(ticked.where(F.col("id").isNull()))
+
+
+def arrival_ticks(rows: DataFrame, city: CityConfig = DEFAULT_CITY) -> DataFrame:
+    return feed.with_tick_instant(feed.with_arrival_tick(rows, city), city)
+
+
+def once_per_id(rows: DataFrame) -> DataFrame:
+    """The first row of every id over the stream's whole life; rows without an id are all kept.
+
+    The ids seen are the stream's keyed state, one flag each: a batch looks up only the ids it
+    brings, however many came before, and a restart resumes from the checkpointed state.
+    """
+    named = rows.where(F.col("id").isNotNull()).dropDuplicates(["id"])
+    return named.unionByName(rows.where(F.col("id").isNull()))
 
 
 def arrival_counts(rows: DataFrame, lateness_minutes: int = LATENESS_MINUTES,
                    city: CityConfig = DEFAULT_CITY) -> DataFrame:
     """Reports per tick window (left-open, right-closed)."""
-    ticked = feed.with_tick_instant(feed.with_arrival_tick(rows, city), city)
+    ticked = arrival_ticks(rows, city)
     if ticked.isStreaming:
         ticked = ticked.withWatermark("tick", f"{lateness_minutes} minutes")
     return ticked.groupBy("tick").agg(F.count(F.lit(1)).alias("new_events"))
@@ -88,33 +107,61 @@ def latest_rows(changes: DataFrame, *keys: str) -> DataFrame:
     return newest.select(*keys, "_v.*")
 
 
+@contextmanager
+def _disk_state(spark: SparkSession):
+    """Queries started inside keep their state on disk (RocksDB), so it may outgrow the executors' memory."""
+    before = spark.conf.get(STATE_PROVIDER, None)
+    spark.conf.set(STATE_PROVIDER, ROCKSDB)
+    try:
+        yield
+    finally:
+        if before is None:
+            spark.conf.unset(STATE_PROVIDER)
+        else:
+            spark.conf.set(STATE_PROVIDER, before)
+
+
 def start_orders(arrived: DataFrame, forecast: Callable[[DataFrame], DataFrame],
                  directory: Callable[[], tuple[DataFrame, int]], path: str, checkpoint: str,
-                 per_tick: int | None = None, city: CityConfig = DEFAULT_CITY, **trigger) -> StreamingQuery:
+                 per_tick: int | None = None, city: CityConfig = DEFAULT_CITY,
+                 lateness_minutes: int = LATENESS_MINUTES, **trigger) -> StreamingQuery:
     """Cap, forecast, route and log the events of each batch.
 
     ``directory`` is asked anew for every batch, so refreshed priors take effect
-    without a restart. An id that any earlier batch of the log holds gets no second
-    order, however long ago that was. ``per_tick`` limits the orders of a tick over all
+    without a restart. An id gets one order over the stream's life (``once_per_id``); the
+    log is written and never read. ``per_tick`` limits the orders of a tick over all
     batches (``None`` dispatches every event); within a batch the newest come first.
-    The log carries each order's arrival tick, and a batch reads two narrow columns of it.
+
+    Beside the log, each batch leaves the orders given to every tick that is still open and
+    the newest tick so far, and reads those of the batch before. Ticks older than the
+    lateness are closed: they leave that table, and a capped stream orders nothing for them.
+    So a batch costs the same however long the stream has run. A replayed batch overwrites
+    what it wrote.
     """
     spark = arrived.sparkSession
-    issued_columns = "event_id string, tick_no bigint, batch_id bigint"
+    ticks = f"{path}/_open_ticks"    # readers of the log skip names with an underscore
+    schema = "tick_no bigint, orders bigint, newest bigint"
+    open_span = -(-lateness_minutes // city.tick_minutes)
 
     def write(batch: DataFrame, batch_id: int) -> None:
         cells, per_axis = directory()
-        given = None
-        if batch_id > 0:
-            log = spark.read.schema(issued_columns).parquet(path).where(F.col("batch_id") < batch_id)
-            batch = feed.without_issued(batch, log)
-            given = log.groupBy("tick_no").agg(F.count(F.lit(1)).alias("orders"))
+        given = spark.read.schema(schema).parquet(_batch_path(ticks, batch_id - 1)) if batch_id > 0 else spark.createDataFrame([], schema)
+        if per_tick is not None:
+            closed = given.agg(F.max("newest").alias("newest")).first()["newest"]  # one row a tick of the open span
+            if closed is not None:
+                batch = batch.where(F.col("tick_no") > closed - open_span)
         chosen = feed.newest_per_tick(batch, per_tick, given)
         orders = orders_stream(chosen, forecast, cells, per_axis, city)
         orders.write.mode("overwrite").parquet(_batch_path(path, batch_id))
+        issued = spark.read.schema("tick_no bigint").parquet(_batch_path(path, batch_id))
+        counts = issued.groupBy("tick_no").agg(F.count(F.lit(1)).alias("orders")).withColumn("newest", F.col("tick_no"))
+        counts = given.unionByName(counts).groupBy("tick_no").agg(F.sum("orders").alias("orders"), F.max("newest").alias("newest"))
+        newest = counts.agg(F.max("newest").alias("newest")).first()["newest"]
+        counts.where(F.col("tick_no") > (newest or 0) - open_span).withColumn("newest", F.lit(newest).cast("bigint")).coalesce(1).write.mode("overwrite").parquet(_batch_path(ticks, batch_id))
 
-    return (arrived.writeStream.outputMode("append").foreachBatch(write)
-            .option("checkpointLocation", checkpoint).trigger(**(trigger or {"availableNow": True})).start())
+    with _disk_state(spark):
+        return (once_per_id(arrived).writeStream.outputMode("append").foreachBatch(write)
+                .option("checkpointLocation", checkpoint).trigger(**(trigger or {"availableNow": True})).start())
 
 
 def start_late_counts(rows: DataFrame, path: str, checkpoint: str,
@@ -127,7 +174,7 @@ def start_late_counts(rows: DataFrame, path: str, checkpoint: str,
     run, and the count is right after a restart as well.
     """
     spark = rows.sparkSession
-    ticked = feed.with_tick_instant(feed.with_arrival_tick(rows, city), city)
+    ticked = arrival_ticks(rows, city)
     schema = "rows bigint, late_rows bigint, max_tick timestamp"
 
     def write(batch: DataFrame, batch_id: int) -> None:

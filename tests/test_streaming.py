@@ -53,6 +53,48 @@ def test_one_order_per_event_and_a_cap_per_tick_over_all_batches(spark, tmp_path
     assert sorted(r["event_id"] for r in spark.read.parquet(out).collect()) == ["a", "b", "d", "e", "f", "g"]
 
 
+def test_orders_need_no_log_of_earlier_batches(spark, tmp_path, monkeypatch):
+    """The ids seen live in the stream's state: a restart whose log was moved away repeats no order."""
+    path, out, cp = (str(tmp_path / n) for n in ("in", "out", "cp"))
+    monkeypatch.setattr(jobs, "orders_stream", lambda rows, *_: rows.select(F.col("id").alias("event_id"), "tick_no"))
+    event = lambda name, at: (name, f"2024-01-01 {at}", "2024-01-01 23:59:00", "A", 0, 0)
+    deliveries = [[event("a", "10:05:00"), event("a", "10:05:00"), event(None, "10:06:00"), event(None, "10:06:00")],
+                  [event("a", "12:05:00"), event("b", "12:06:00"), event(None, "10:06:00")],
+                  [event("b", "12:06:00"), event("a", "10:05:00"), event("c", "12:07:00")]]
+    issued = []
+    for rows in deliveries:
+        land(spark, path, rows)
+        jobs.start_orders(jobs.arrival_ticks(source(spark, path)), None, lambda: (None, 1), out, cp).awaitTermination()
+        batches = sorted((tmp_path / "out").glob("batch_id=*"), key=lambda p: int(p.name.split("=")[1]))
+        issued += [r["event_id"] for p in batches for r in spark.read.parquet(str(p)).collect()]
+        for i, folder in enumerate(batches):
+            folder.rename(tmp_path / f"gone-{len(issued)}-{i}")
+    assert sorted(map(str, issued)) == ["None", "None", "None", "a", "b", "c"]
+
+
+def test_late_ticks_get_no_order_beyond_the_cap(spark, tmp_path, monkeypatch):
+    path, out, cp = (str(tmp_path / n) for n in ("in", "out", "cp"))
+    monkeypatch.setattr(jobs, "orders_stream", lambda rows, *_: rows.select(F.col("id").alias("event_id"), "tick_no"))
+    event = lambda name, at: (name, f"2024-01-01 {at}", "2024-01-01 23:59:00", "A", 0, 0)
+    for rows in ([event("a", "10:05:00")], [event("b", "10:06:00"), event("c", "10:40:00")], [event("d", "10:07:00")],
+                 [event("e", "18:00:00")], [event("f", "10:08:00")]):
+        land(spark, path, rows)
+        jobs.start_orders(jobs.arrival_ticks(source(spark, path)), None, lambda: (None, 1), out, cp, per_tick=2).awaitTermination()
+    assert sorted(r["event_id"] for r in spark.read.parquet(out).collect()) == ["a", "b", "c", "e"]
+    assert spark.read.parquet(f"{out}/_open_ticks/batch_id=4").count() == 1   # only open ticks are carried on
+
+
+def test_arrivals_keep_rows_without_an_id(spark, tmp_path):
+    path, out, cp = (str(tmp_path / n) for n in ("in", "out", "cp"))
+    row = lambda name, at: (name, f"2024-01-01 {at}", "2024-01-01 23:59:00", "A", 0, 0)
+    for rows in ([row(None, "10:01:00"), row(None, "10:07:00"), row("a", "10:07:00")], [row("a", "10:08:00"), row(None, "10:01:00")],
+                 [row("b", "15:00:00")], [row("late", "09:00:00")]):
+        land(spark, path, rows)
+    jobs.arrivals(source(spark, path)).select("id").writeStream.format("parquet").option(
+        "checkpointLocation", cp).trigger(availableNow=True).start(out).awaitTermination()
+    assert sorted(str(r["id"]) for r in spark.read.parquet(out).collect()) == ["None"] * 3 + ["a", "b"]
+
+
 def test_late_counts(spark, tmp_path):
     path, out, cp = (str(tmp_path / n) for n in ("in", "out", "cp"))
     for rows in DELIVERIES:

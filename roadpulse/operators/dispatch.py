@@ -8,7 +8,7 @@ from pyspark.sql import Column, DataFrame, functions as F
 
 from roadpulse.config import CityConfig, DEFAULT_CITY, TEXT_COLUMN
 from roadpulse.functions import geo, temporal
-from roadpulse.operators.medians import DEGREE_SCALES, medians_by
+from roadpulse.operators.medians import medians_by
 from roadpulse.schema import ORDER_COLUMNS, REQUEST_COLUMNS
 from roadpulse.session import settle
 
@@ -25,7 +25,7 @@ def station_directory(df: DataFrame, city: CityConfig = DEFAULT_CITY, **options)
     """
     known = df.where(F.col("police_station") != city.unknown)
     places = medians_by(known.select("police_station", "latitude", "longitude"), ["police_station"], {
-        "latitude": ("latitude", DEGREE_SCALES), "longitude": ("longitude", DEGREE_SCALES)}, **options)
+        "latitude": "latitude", "longitude": "longitude"}, **options)
     zones = (known.groupBy("police_station", "zone").agg(F.count(F.lit(1)).alias("_n"))
              .groupBy("police_station")
              .agg(F.sum("_n").alias("events_handled"),

@@ -7,7 +7,7 @@ from functools import reduce
 from pyspark.sql import DataFrame, Window as W, functions as F
 
 from roadpulse.functions import numeric
-from roadpulse.operators.medians import MINUTE_SCALES, medians_by
+from roadpulse.operators.medians import medians_by
 from roadpulse.operators.ranking import running_totals
 from roadpulse.operators.selection import same_keys
 
@@ -38,7 +38,7 @@ def regression_metrics(scored: DataFrame, by: list[str], predicted: str = "predi
         F.avg("_e").alias("mae_minutes"),
         F.sqrt(F.avg(F.pow(F.log1p("_p") - F.log1p("_t"), 2.0))).alias("rmsle"),
         F.avg((numeric.fold_ratio(F.col("_p"), F.col("_t")) <= 2.0).cast("int")).alias("within_2x"))
-    middle = medians_by(rows.select(*by, "_e"), by, {"median_ae_minutes": ("_e", MINUTE_SCALES)}, **options)
+    middle = medians_by(rows.select(*by, "_e"), by, {"median_ae_minutes": "_e"}, **options)
     return _join([plain, middle], by)
 
 

@@ -16,7 +16,7 @@ from roadpulse.config import (
     TEXT_COLUMN,
 )
 from roadpulse.functions import geo, numeric, temporal, text
-from roadpulse.operators.medians import DEGREE_SCALES, medians_by
+from roadpulse.operators.medians import medians_by
 from roadpulse.schema import TIMESTAMP_COLUMNS
 
 
@@ -31,8 +31,8 @@ class CoordinateMedians:
     def fit(cls, raw: DataFrame, city: CityConfig = DEFAULT_CITY, **options) -> "CoordinateMedians":
         valid = raw.select("latitude", "longitude").where(
             geo.in_city(F.col("latitude"), F.col("longitude"), city))
-        row = medians_by(valid, [], {"latitude": ("latitude", DEGREE_SCALES),
-                                     "longitude": ("longitude", DEGREE_SCALES)}, **options).first()
+        row = medians_by(valid, [], {"latitude": "latitude",
+                                     "longitude": "longitude"}, **options).first()
         return cls(row["latitude"], row["longitude"]) if row else cls(None, None)
 
 

@@ -7,7 +7,7 @@ from functools import reduce
 from pyspark.sql import DataFrame, functions as F
 
 from roadpulse.config import CityConfig, DEFAULT_CITY, CLOSURE_FLAG
-from roadpulse.operators.medians import MINUTE_SCALES, medians_by
+from roadpulse.operators.medians import medians_by
 
 DENSITY_KEYS = ("corridor", "junction", "zone", "cluster_id")
 
@@ -50,12 +50,12 @@ def add_densities(df: DataFrame, table: DataFrame, keys: tuple[str, ...] = DENSI
 
 def median_duration_by_cause(df: DataFrame, out: str = "median_duration", **options) -> DataFrame:
     known = df.where(F.col("duration_min").isNotNull()).select("event_cause", "duration_min")
-    return medians_by(known, ["event_cause"], {out: ("duration_min", MINUTE_SCALES)}, **options)
+    return medians_by(known, ["event_cause"], {out: "duration_min"}, **options)
 
 
 def overall_median_duration(df: DataFrame, out: str = "overall_median_duration", **options) -> DataFrame:
     known = df.where(F.col("duration_min").isNotNull()).select("duration_min")
-    return medians_by(known, [], {out: ("duration_min", MINUTE_SCALES)}, **options)
+    return medians_by(known, [], {out: "duration_min"}, **options)
 
 
 def closure_rate_by_cause(df: DataFrame, out: str = "closure_rate") -> DataFrame:

@@ -1,56 +1,29 @@
 """Exact grouped medians that never hold a group in one task's memory.
 
-Equal values are counted before anything is shuffled. A first cumulative sum over coarse
-buckets of a group finds the one or two buckets with the middle ranks, a second one over
-the values of those buckets finds the middle values. One plan serves every size.
+All columns and groups share two scans of the rows (see ``selection``): quantile sketches
+bracket the middle ranks, exact counts inside the brackets find them.
 """
 
 from __future__ import annotations
 
-from functools import reduce
+from pyspark.sql import DataFrame, functions as F
 
-from pyspark.sql import DataFrame, Window as W, functions as F
+from roadpulse.operators.selection import ranked_values, same_keys
 
-from roadpulse.operators.selection import same_keys
 
-# Coarse buckets per unit of the value domain: about 10 000 over its usual range.
-MINUTE_SCALES = 1.0
-DEGREE_SCALES = 1e4
-
-
-def medians_by(df: DataFrame, keys: list[str], columns: dict[str, tuple[str, float]]) -> DataFrame:
+def medians_by(df: DataFrame, keys: list[str], columns: dict[str, str]) -> DataFrame:
     """One row per group with exact interpolated medians; null and NaN are no values.
 
-    ``columns`` maps an output name to ``(input column, buckets per unit)``. A group
-    without values keeps a row with a null median.
+    ``columns`` maps an output name to an input column. A group without values keeps a row
+    with a null median.
     """
-    parts = [_median(df, keys, c, scale, out) for out, (c, scale) in columns.items()]
+    stacked = df.select(*keys, F.inline(F.array(*[
+        F.struct(F.lit(i).alias("_m"), F.col(c).cast("double").alias("_x")) for i, c in enumerate(columns.values())])))
+    middle = F.array(F.expr("(_all + 1) div 2"), F.expr("(_all + 2) div 2"))
+    groups, picked = ranked_values(stacked, [*keys, "_m"], F.col("_x"), F.col("_x"), [0.5], middle)
+    outputs = [(F.sum(F.when(F.col("_m") == i, F.col("value"))) / F.lit(2.0)).alias(n) for i, n in enumerate(columns)]
+    found = picked.groupBy(*keys).agg(*outputs)
     if not keys:
-        tagged = reduce(DataFrame.unionByName, [
-            p.select(F.lit(n).alias("_out"), F.col(n).alias("_m")) for p, n in zip(parts, columns)])
-        return tagged.agg(*[F.max(F.when(F.col("_out") == n, F.col("_m"))).alias(n) for n in columns])
-    joined = df.groupBy(*keys).agg(F.count(F.lit(1)).alias("_rows"))
-    for part in parts:
-        part = part.withColumnsRenamed({k: f"_r_{k}" for k in keys})
-        joined = joined.join(part, same_keys([(k, f"_r_{k}") for k in keys]), "left").drop(
-            *[f"_r_{k}" for k in keys])
-    return joined.drop("_rows")
-
-
-def _median(df: DataFrame, keys: list[str], column: str, scale: float, out: str) -> DataFrame:
-    """Mean of the two middle values (the same one twice for an odd count)."""
-    value = F.col(column).cast("double")
-    counts = df.where(value.isNotNull() & ~F.isnan(value)).groupBy(*keys, value.alias("_v")).agg(F.count(F.lit(1)).alias("_n"))
-    counts = counts.withColumn("_b", F.floor(F.col("_v") * F.lit(scale)))
-    group = W.partitionBy(*keys)
-    buckets = counts.groupBy(*keys, "_b").agg(F.sum("_n").alias("_bn")).withColumns({
-        "_all": F.sum("_bn").over(group),
-        "_before": F.sum("_bn").over(group.orderBy("_b").rowsBetween(W.unboundedPreceding, W.currentRow)) - F.col("_bn")})
-    low, high = F.expr("(_all + 1) div 2"), F.expr("(_all + 2) div 2")
-    middle = buckets.where((F.col("_before") < high) & (F.col("_before") + F.col("_bn") >= low))
-    on = [*keys, "_b"]
-    middle = middle.withColumnsRenamed({k: f"_t_{k}" for k in on})
-    inside = counts.join(middle, same_keys([(k, f"_t_{k}") for k in on])).withColumn("_upto", F.col("_before") + F.sum("_n").over(
-        W.partitionBy(*on).orderBy("_v").rowsBetween(W.unboundedPreceding, W.currentRow)))
-    holds = lambda rank: ((F.col("_upto") - F.col("_n") < rank) & (F.col("_upto") >= rank)).cast("int")
-    return inside.groupBy(*keys).agg((F.sum(F.col("_v") * (holds(low) + holds(high))) / F.lit(2.0)).alias(out))
+        return found
+    found = found.withColumnsRenamed({k: f"_r_{k}" for k in keys})
+    return groups.select(*keys).distinct().join(found, same_keys([(k, f"_r_{k}") for k in keys]), "left").drop(*[f"_r_{k}" for k in keys])

@@ -9,8 +9,8 @@ from __future__ import annotations
 
 from pyspark.sql import Column, DataFrame, functions as F
 
-from roadpulse.operators.ranking import shuffle_key
-from roadpulse.operators.selection import select_ranks
+from roadpulse.operators.ranking import running_totals, shuffle_key
+from roadpulse.operators.selection import ranked_values
 from roadpulse.session import settle
 
 
@@ -19,17 +19,16 @@ def _order(key: str, seed) -> Column:
     return shuffle_key(F.coalesce(F.col(key).cast("string"), F.lit("")), seed)
 
 
-def _hash_steps() -> list[Column]:
-    return [F.substring("_h", 1, 4), F.substring("_h", 1, 8), F.col("_h")]
+def _number(hashed: str, digits: int) -> Column:
+    """The first hexadecimal digits as a number in the same order."""
+    return F.conv(F.substring(hashed, 1, digits), 16, 10).cast("bigint")
 
 
-def _cuts(df: DataFrame, keys: list[str], steps: list[Column], ranks: Column) -> DataFrame:
+def _cuts(df: DataFrame, keys: list[str], order: Column, value: Column, shares: list[float], ranks: Column) -> DataFrame:
     """Per group the sort keys found at ``ranks``, as one array in rank order."""
-    found = select_ranks(df, keys, steps, ranks, "cuts")
-    pairs = found.select(*keys, "value", F.explode("picked").alias("_p")).select(
-        *keys, F.struct(F.col("_p.i").alias("i"), F.col("value")).alias("_c"))
-    listed = F.transform(F.array_sort(F.collect_list("_c")), lambda c: c["value"])
-    return settle(pairs.groupBy(*keys).agg(listed.alias("_cuts")), "cuts")
+    _, found = ranked_values(df, keys, order, value, shares, ranks)
+    listed = F.transform(F.array_sort(F.collect_list(F.struct("i", "value"))), lambda c: c["value"])
+    return found.groupBy(*keys).agg(listed.alias("_cuts"))
 
 
 def _attach(df: DataFrame, cuts: DataFrame, keys: list[str]) -> DataFrame:
@@ -59,7 +58,7 @@ def random_folds(df: DataFrame, k: int = 5, seed: int = 42, key: str = "id",
     """
     keys = [stratify] if stratify else []
     hashed = df.withColumn("_h", _order(key, seed))
-    cuts = _cuts(hashed.select(*keys, "_h"), keys, _hash_steps(), _part_cuts(k))
+    cuts = _cuts(hashed.select(*keys, "_h"), keys, _number("_h", 15), F.col("_h"), [j / k for j in range(1, k)], _part_cuts(k))
     return _attach(hashed, cuts, keys).withColumn(
         "fold", F.size(F.filter("_cuts", lambda c: F.col("_h") > c)) + F.lit(1)).drop("_h", "_cuts")
 
@@ -68,7 +67,7 @@ def holdout_split(df: DataFrame, share: float = 0.2, seed: int = 42, key: str =
                   stratify: str = "requires_road_closure") -> DataFrame:
     """``part`` = test for a seeded share of every class (rounded up), else train."""
     hashed = df.withColumn("_h", _order(key, seed))
-    cuts = _cuts(hashed.select(stratify, "_h"), [stratify], _hash_steps(),
+    cuts = _cuts(hashed.select(stratify, "_h"), [stratify], _number("_h", 15), F.col("_h"), [share],
                  F.array(F.ceil(F.col("_all") * F.lit(share)).cast("bigint")))
     inside = F.coalesce(F.col("_h") <= F.try_element_at("_cuts", F.lit(1)), F.lit(False))
     return _attach(hashed, cuts, [stratify]).withColumn(
@@ -83,10 +82,9 @@ def temporal_split(df: DataFrame, fraction: float = 0.8, key: str = "id") -> Dat
     far = F.lit(2 ** 62)
     keyed = df.withColumns({
         "_u": F.coalesce(F.unix_micros("start_datetime"), far), "_h": _order(key, "time")})
-    hour = (F.col("_u") / F.lit(3_600_000_000)).cast("bigint")
-    second = (F.col("_u") / F.lit(1_000_000)).cast("bigint")
-    steps = [hour, second, F.col("_u"), *_hash_steps()[:-1], F.struct("_u", "_h")]
-    cuts = _cuts(keyed.select("_u", "_h"), [], steps,
+    # Starts as far as 51 bits of microseconds reach (the year 2041), then three digits of the hash: equal starts spread.
+    order = F.greatest(F.least(F.col("_u"), F.lit(2 ** 51 - 1)), F.lit(-2 ** 51)) * F.lit(4096) + _number("_h", 3)
+    cuts = _cuts(keyed.select("_u", "_h"), [], order, F.struct("_u", "_h"), [fraction],
                  F.array(F.floor(F.col("_all") * F.lit(fraction)).cast("bigint")))
     row = cuts.first()
     if row is None or not row["_cuts"]:
@@ -96,22 +94,27 @@ def temporal_split(df: DataFrame, fraction: float = 0.8, key: str = "id") -> Dat
     return keyed.withColumn("part", F.when(early, "train").otherwise("test")).drop("_u", "_h")
 
 
-def group_folds(df: DataFrame, group: str = "cluster_id", k: int = 5, max_groups: int = 10_000) -> DataFrame:
-    """Whole groups per fold, largest group first into the lightest fold.
+def group_folds(df: DataFrame, group: str = "cluster_id", k: int = 5) -> DataFrame:
+    """Whole groups per fold, for any number of groups; a null group is a group.
 
-    Meant for few groups (location clusters): the counts of at most ``max_groups``
-    groups are dealt out on the driver; more than that is an error, not a sample.
+    Groups too large for an even share of what is left get a fold to themselves (fewer than
+    ``k`` can be that large). The others go round the remaining folds there and back by
+    falling size, so the loads of those folds differ by the largest of them at most. A
+    group's place in that order is a running total over buckets of sizes and hashes: no task
+    and no driver holds the list of groups.
     """
-    sizes = df.groupBy(group).agg(F.count(F.lit(1)).alias("n")).orderBy(
-        F.desc("n"), F.desc(group)).take(max_groups + 1)
-    if len(sizes) > max_groups:
-        raise ValueError(f"more than {max_groups} groups in {group}")
-    load = [0] * k
-    rows = []
-    for row in sizes:
-        lightest = load.index(min(load))
-        load[lightest] += row["n"]
-        rows.append((row[group], lightest + 1))
-    schema = f"_g {df.schema[group].dataType.simpleString()}, fold int"
-    dealt = df.sparkSession.createDataFrame(rows, schema)
-    return df.join(F.broadcast(dealt), F.col(group).eqNullSafe(F.col("_g"))).drop("_g")
+    sizes = settle(df.groupBy(F.col(group).alias("_g")).agg(F.count(F.lit(1)).alias("_n")).withColumn("_h", _order("_g", "group")), "groups")
+    left = sizes.agg(F.sum("_n")).first()[0] or 0
+    alone = 0
+    for row in sizes.orderBy(F.desc("_n"), "_h").limit(k - 1).collect():   # at most k - 1 rows
+        if row["_n"] * (k - alone) <= left:
+            break
+        alone, left = alone + 1, left - row["_n"]
+    ordered = sizes.withColumns({"_class": -F.floor(F.log2("_n")), "_small": -F.col("_n"), "_prefix": F.substring("_h", 1, 4)})
+    ranked = running_totals(ordered, [], ["_class", "_small", "_prefix"], ["_h", F.col("_g").isNull()], {"_rank": F.lit(1)})
+    folds = k - alone
+    place = F.pmod(F.col("_rank") - F.lit(1 + alone), F.lit(2 * folds))
+    fold = F.when(F.col("_rank") <= alone, F.col("_rank")).otherwise(
+        F.lit(alone + 1) + F.when(place < folds, place).otherwise(F.lit(2 * folds - 1) - place))
+    dealt = ranked.select("_g", fold.cast("int").alias("fold"))
+    return df.join(dealt, F.col(group).eqNullSafe(F.col("_g"))).drop("_g")

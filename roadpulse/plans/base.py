@@ -18,6 +18,11 @@ def engineered(spark: SparkSession, sf_dir: str) -> DataFrame:
     return features.engineer(raw_incidents(spark, sf_dir))
 
 
+def unplaced(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Engineered rows for queries that read no place: coordinates outside the city stay empty, no medians are fitted."""
+    return features.engineer(raw_incidents(spark, sf_dir), features.CoordinateMedians(None, None))
+
+
 def live_feed(spark: SparkSession, sf_dir: str) -> DataFrame:
     rows = engineered(spark, sf_dir)
     return feed.add_lifetime(rows, feed.cause_priors(rows))

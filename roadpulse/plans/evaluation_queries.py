@@ -7,7 +7,7 @@ from pyspark.sql import DataFrame, SparkSession, functions as F
 from roadpulse.learning.encoders import cross_fitted_target_encoding, fit_target_encoding
 from roadpulse.operators import evaluate, features, lookups, splits
 from roadpulse.plans import oracle as o
-from roadpulse.plans.base import engineered, planned, six
+from roadpulse.plans.base import planned, six, unplaced
 from roadpulse.plans.registry import query
 from roadpulse.session import prepare
 
@@ -175,14 +175,14 @@ def document_label_ranking(spark: SparkSession, sf_dir: str) -> DataFrame:
 @query("folds_random", o.with_tables(
     "SELECT id, CAST(ntile(5) OVER (ORDER BY md5(concat(id, '#42'))) AS INT) AS fold FROM eng", "eng"))
 def folds_random(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return splits.random_folds(engineered(spark, sf_dir).select("id")).select("id", "fold")
+    return splits.random_folds(unplaced(spark, sf_dir).select("id")).select("id", "fold")
 
 
 @query("folds_stratified", o.with_tables(
     """SELECT id, requires_road_closure, CAST(ntile(5) OVER (PARTITION BY requires_road_closure
  ORDER BY md5(concat(id, '#42'))) AS INT) AS fold FROM eng""", "eng"))
 def folds_stratified(spark: SparkSession, sf_dir: str) -> DataFrame:
-    rows = engineered(spark, sf_dir).select("id", "requires_road_closure")
+    rows = unplaced(spark, sf_dir).select("id", "requires_road_closure")
     return splits.random_folds(rows, stratify="requires_road_closure").select(
         "id", "requires_road_closure", "fold")
 
@@ -192,7 +192,7 @@ def folds_stratified(spark: SparkSession, sf_dir: str) -> DataFrame:
  ORDER BY md5(concat(id, '#42'))) AS INT) AS fold FROM eng""", "eng"))
 def folds_by_cut_points(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Folds from cut points of the hash order (see random_folds)."""
-    rows = engineered(spark, sf_dir).select("id", "requires_road_closure")
+    rows = unplaced(spark, sf_dir).select("id", "requires_road_closure")
     return splits.random_folds(rows, stratify="requires_road_closure").select(
         "id", "requires_road_closure", "fold")
 
@@ -202,7 +202,7 @@ def folds_by_cut_points(spark: SparkSession, sf_dir: str) -> DataFrame:
  SELECT id, row_number() OVER (PARTITION BY requires_road_closure ORDER BY md5(concat(id, '#42'))) AS rn,
  count(*) OVER (PARTITION BY requires_road_closure) AS n FROM eng) q""", "eng"))
 def holdout_split(spark: SparkSession, sf_dir: str) -> DataFrame:
-    rows = engineered(spark, sf_dir).select("id", "requires_road_closure")
+    rows = unplaced(spark, sf_dir).select("id", "requires_road_closure")
     return splits.holdout_split(rows).select("id", "part")
 
 
@@ -211,7 +211,7 @@ def holdout_split(spark: SparkSession, sf_dir: str) -> DataFrame:
  SELECT id, row_number() OVER (ORDER BY start_datetime NULLS LAST, md5(concat(id, '#time'))) AS rn,
  count(*) OVER () AS n FROM eng) q""", "eng"))
 def fold_temporal(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return splits.temporal_split(engineered(spark, sf_dir).select("id", "start_datetime")).select("id", "part")
+    return splits.temporal_split(unplaced(spark, sf_dir).select("id", "start_datetime")).select("id", "part")
 
 
 @query("fold_temporal_by_cut_point", o.with_tables(
@@ -219,12 +219,19 @@ def fold_temporal(spark: SparkSession, sf_dir: str) -> DataFrame:
  SELECT id, row_number() OVER (ORDER BY start_datetime NULLS LAST, md5(concat(id, '#time'))) AS rn,
  count(*) OVER () AS n FROM eng) q""", "eng"))
 def fold_temporal_by_cut_point(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return splits.temporal_split(engineered(spark, sf_dir).select("id", "start_datetime")).select("id", "part")
+    return splits.temporal_split(unplaced(spark, sf_dir).select("id", "start_datetime")).select("id", "part")
 
 
-@query("folds_group", None)
+@query("folds_group", o.with_tables(
+    """SELECT e.id, e.junction, CAST(CASE WHEN rn <= alone THEN rn
+  WHEN (rn - 1 - alone) % (2 * (5 - alone)) < 5 - alone THEN alone + 1 + (rn - 1 - alone) % (2 * (5 - alone))
+  ELSE alone + 2 * (5 - alone) - (rn - 1 - alone) % (2 * (5 - alone)) END AS INT) AS fold
+ FROM eng e JOIN (SELECT *, count_if(rn < 5 AND n * (6 - rn) > total - before) OVER () AS alone FROM (
+  SELECT *, sum(n) OVER () AS total, sum(n) OVER (ORDER BY rn) - n AS before FROM (
+   SELECT junction, count(*) AS n, row_number() OVER (ORDER BY count(*) DESC, md5(concat(junction, '#group'))) AS rn
+   FROM eng GROUP BY 1) a) b) g ON e.junction = g.junction""", "eng"))
 def folds_group(spark: SparkSession, sf_dir: str) -> DataFrame:
-    rows = engineered(spark, sf_dir).select("id", "junction")
+    rows = unplaced(spark, sf_dir).select("id", "junction")
     return splits.group_folds(rows, "junction").select("id", "junction", "fold")
 
 
@@ -233,7 +240,7 @@ def folds_group(spark: SparkSession, sf_dir: str) -> DataFrame:
  WHERE duration_min IS NOT NULL GROUP BY 1""", "eng"))
 def exact_medians_by_descent(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Medians from counted values and two cumulative sums."""
-    table = lookups.median_duration_by_cause(engineered(spark, sf_dir))
+    table = lookups.median_duration_by_cause(unplaced(spark, sf_dir))
     return table.select("event_cause", six("median_duration").alias("median_duration"))
 
 
@@ -259,7 +266,7 @@ _ENC = """stat AS MATERIALIZED (SELECT key, fold, count(*) AS n, CAST(sum(y) AS
  CAST(ntile(3) OVER (PARTITION BY requires_road_closure ORDER BY md5(concat(id, '#42'))) AS INT) AS fold FROM eng), """
     + _ENC))
 def target_encoding_oof(spark: SparkSession, sf_dir: str) -> DataFrame:
-    rows = engineered(spark, sf_dir).select("id", "police_station", "requires_road_closure")
+    rows = unplaced(spark, sf_dir).select("id", "police_station", "requires_road_closure")
     folded = splits.random_folds(rows, 3, stratify="requires_road_closure")
     return cross_fitted_target_encoding(
         folded, {"police_station": "encoded"}, "requires_road_closure", "fold").select(
@@ -274,7 +281,7 @@ def target_encoding_oof(spark: SparkSession, sf_dir: str) -> DataFrame:
  SELECT count(*) AS n, sum(ln(1 + duration_min)) AS s, sum(pow(ln(1 + duration_min), 2)) AS q
  FROM eng WHERE duration_min IS NOT NULL) t""", "eng"))
 def target_encoding_full(spark: SparkSession, sf_dir: str) -> DataFrame:
-    rows = engineered(spark, sf_dir).where(F.col("duration_min").isNotNull()).withColumn(
+    rows = unplaced(spark, sf_dir).where(F.col("duration_min").isNotNull()).withColumn(
         "y", F.log1p("duration_min"))
     table = fit_target_encoding(rows, ["junction"], "y")
     return table.where(F.col("value").isNotNull()).select(

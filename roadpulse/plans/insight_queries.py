@@ -6,7 +6,7 @@ from pyspark.sql import DataFrame, SparkSession, functions as F
 
 from roadpulse.operators import insight, lookups
 from roadpulse.plans import oracle as o
-from roadpulse.plans.base import engineered, six
+from roadpulse.plans.base import engineered, six, unplaced
 from roadpulse.plans.registry import query
 
 
@@ -14,7 +14,7 @@ from roadpulse.plans.registry import query
     """SELECT event_cause, round(median(duration_min), 6) AS median_duration FROM eng
  WHERE duration_min IS NOT NULL GROUP BY 1""", "eng"))
 def median_duration_by_cause(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return insight.duration_by_cause(engineered(spark, sf_dir)).select(
+    return insight.duration_by_cause(unplaced(spark, sf_dir)).select(
         "event_cause", six("median_duration").alias("median_duration"))
 
 
@@ -22,20 +22,20 @@ def median_duration_by_cause(spark: SparkSession, sf_dir: str) -> DataFrame:
     """SELECT event_cause, round(avg(requires_road_closure) * 100, 6) AS closure_percent FROM eng GROUP BY 1""",
     "eng"))
 def closure_rate_by_cause(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return insight.closure_percent_by_cause(engineered(spark, sf_dir)).select(
+    return insight.closure_percent_by_cause(unplaced(spark, sf_dir)).select(
         "event_cause", six("closure_percent").alias("closure_percent"))
 
 
 @query("events_by_hour", o.with_tables(
     """SELECT hour, count(*) AS events FROM eng WHERE start_datetime IS NOT NULL GROUP BY 1""", "eng"))
 def events_by_hour(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return insight.events_by_hour(engineered(spark, sf_dir))
+    return insight.events_by_hour(unplaced(spark, sf_dir))
 
 
 @query("busiest_corridors", o.with_tables(
     """SELECT corridor, count(*) AS events FROM eng GROUP BY 1 ORDER BY events DESC, corridor LIMIT 5""", "eng"))
 def busiest_corridors(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return insight.busiest_corridors(engineered(spark, sf_dir), 5)
+    return insight.busiest_corridors(unplaced(spark, sf_dir), 5)
 
 
 # below the number of values of each field, so that every list is cut
@@ -46,7 +46,7 @@ LISTED = {"event_cause": 6, "veh_type": 3, "corridor": 5, "zone": 3, "police_sta
     f"""SELECT '{c}' AS dimension, value FROM (SELECT {c} AS value, count(*) AS n FROM eng GROUP BY 1
  ORDER BY n DESC, value LIMIT {n}) q""" for c, n in LISTED.items()), "eng"))
 def top_choices(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return insight.top_choices(engineered(spark, sf_dir), LISTED)
+    return insight.top_choices(unplaced(spark, sf_dir), LISTED)
 
 
 @query("hot_spots", o.with_tables(

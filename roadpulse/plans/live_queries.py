@@ -7,7 +7,7 @@ from pyspark.sql import DataFrame, SparkSession, functions as F
 from roadpulse.functions import geo, scoring
 from roadpulse.operators import congestion, dispatch, feed, features, insight
 from roadpulse.plans import oracle as o
-from roadpulse.plans.base import engineered, live_feed, orders, planned, six, stamp
+from roadpulse.plans.base import engineered, live_feed, orders, planned, six, stamp, unplaced
 from roadpulse.plans.registry import query
 from roadpulse.schema import FORECAST_COLUMNS
 from roadpulse.session import scratch_path, settle
@@ -43,7 +43,7 @@ def new_events_window(spark: SparkSession, sf_dir: str) -> DataFrame:
 @query("new_events_per_tick", o.with_tables(
     f"SELECT {o.tick('start_datetime')} AS tick_no, count(*) AS new_events FROM feed GROUP BY 1", "feed"))
 def new_events_per_tick(spark: SparkSession, sf_dir: str) -> DataFrame:
-    arrivals = feed.with_arrival_tick(feed.started(engineered(spark, sf_dir)))
+    arrivals = feed.with_arrival_tick(feed.started(unplaced(spark, sf_dir)))
     return arrivals.groupBy("tick_no").agg(F.count(F.lit(1)).alias("new_events"))
 
 
@@ -98,7 +98,7 @@ def congested_corridor_count(spark: SparkSession, sf_dir: str) -> DataFrame:
     """SELECT CAST(CAST(loc AS DATE) AS VARCHAR) AS date, count(*) AS events FROM feed GROUP BY 1
  ORDER BY events DESC, date LIMIT 10""", "feed"))
 def busiest_days(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return feed.busiest_days(engineered(spark, sf_dir), 10).select(
+    return feed.busiest_days(unplaced(spark, sf_dir), 10).select(
         F.col("date").cast("string").alias("date"), "events")
 
 
@@ -108,7 +108,7 @@ def busiest_days(spark: SparkSession, sf_dir: str) -> DataFrame:
  SELECT CAST(loc AS DATE) AS d, count(*) AS events FROM feed GROUP BY 1 ORDER BY events DESC, d LIMIT 1) q""",
     "feed"))
 def busiest_day(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return feed.busiest_day(engineered(spark, sf_dir)).select(
+    return feed.busiest_day(unplaced(spark, sf_dir)).select(
         F.col("date").cast("string").alias("date"), "events", stamp("day_start").alias("day_start"))
 
 
@@ -223,7 +223,7 @@ def prediction_table(spark: SparkSession, sf_dir: str) -> DataFrame:
  PARTITION BY {o.tick('start_datetime')} ORDER BY start_datetime DESC, id DESC) AS rn FROM feed) q
  WHERE rn <= 15""", "feed"))
 def dispatch_capped_per_tick(spark: SparkSession, sf_dir: str) -> DataFrame:
-    arrivals = feed.with_arrival_tick(feed.started(engineered(spark, sf_dir)))
+    arrivals = feed.with_arrival_tick(feed.started(unplaced(spark, sf_dir)))
     return feed.newest_per_tick(arrivals, 15).select("tick_no", "id")
 
 

@@ -10,7 +10,7 @@ import pytest
 from pyspark.sql import Window as W, functions as F
 
 from roadpulse.learning import encoders
-from roadpulse.operators import evaluate, medians, ranking, splits
+from roadpulse.operators import evaluate, medians, ranking, selection, splits
 
 
 def test_medians_with_a_dominant_group_and_ties(spark):
@@ -18,17 +18,56 @@ def test_medians_with_a_dominant_group_and_ties(spark):
     rows = [("hot", draw.choice([7.5, draw.uniform(0.5, 4320)])) for _ in range(501)]
     rows += [("even", 1.0), ("even", 2.0), ("one", 3.25), (None, 4.0), (None, 5.0), ("none", None), ("even", math.nan)]
     df = spark.createDataFrame(rows, "k string, v double")
-    got = {r["k"]: r["m"] for r in medians.medians_by(df, ["k"], {"m": ("v", medians.MINUTE_SCALES)}).collect()}
+    got = {r["k"]: r["m"] for r in medians.medians_by(df, ["k"], {"m": "v"}).collect()}
     want = {k: statistics.median([v for g, v in rows if g == k and v is not None and not math.isnan(v)]) for k in ("hot", "even", "one", None)}
     assert got == {**want, "none": None}
 
 
 def test_median_without_keys(spark):
     df = spark.createDataFrame([(12.61,), (12.97,), (13.01,), (12.97,)], "v double")
-    got = medians.medians_by(df, [], {"a": ("v", medians.DEGREE_SCALES), "b": ("v", medians.DEGREE_SCALES)}).first()
+    got = medians.medians_by(df, [], {"a": "v", "b": "v"}).first()
     assert got["a"] == got["b"] == 12.97
 
 
+@pytest.mark.parametrize("sketch", [64, selection.SKETCH])
+def test_ranks_through_brackets(spark, monkeypatch, sketch):
+    """Groups beyond the sketch size: brackets around several shares, a value with a third of the rows, equal order keys."""
+    monkeypatch.setattr(selection, "SKETCH", sketch)
+    monkeypatch.setattr(selection, "MARGIN", selection.MARGIN if sketch > 64 else 0.25)
+    draw = random.Random(4)
+    rows = [("big", draw.choice([5, draw.randint(-10 ** 6, 10 ** 6), draw.randint(-10 ** 6, 10 ** 6)])) for _ in range(9000)]
+    rows += [("small", v) for v in range(7)] + [("one", 3), ("none", None)]
+    df = spark.createDataFrame(rows, "k string, v bigint").repartition(3)
+    shares = [0.2, 0.4, 0.6, 0.8]
+    ranks = F.array(*[F.ceil(F.col("_all") * F.lit(s)).cast("bigint") for s in shares])
+    groups, found = selection.ranked_values(df, ["k"], F.floor(F.col("v") / 10), F.col("v"), shares, ranks)
+    got = {(r["k"], r["i"]): r["value"] for r in found.collect()}
+    for name in ("big", "small", "one"):
+        own = sorted(v for k, v in rows if k == name)
+        assert [got[name, i] for i in range(4)] == [own[math.ceil(len(own) * s) - 1] for s in shares]
+    assert {r["k"]: r["_all"] for r in groups.collect()} == {"big": 9000, "small": 7, "one": 1, "none": 0}
+
+
+def test_group_folds_with_many_groups_and_a_hot_one(spark):
+    rows = [("hot",)] * 15_000 + [(None,)] * 300 + [(f"g{i}",) for i in range(20_000) for _ in range(1 + i % 2)]
+    df = spark.createDataFrame(rows, "g string")
+    folds = splits.group_folds(df, "g").groupBy("g", "fold").count().collect()
+    assert len(folds) == 20_002 and sum(r["count"] for r in folds) == len(rows)   # a group has one fold
+    load = {}
+    for r in folds:
+        load[r["fold"]] = load.get(r["fold"], 0) + r["count"]
+    alone = next(r["fold"] for r in folds if r["g"] == "hot")
+    rest = [n for f, n in load.items() if f != alone]
+    assert load[alone] == 15_000 and len(rest) == 4 and max(rest) - min(rest) <= 300
+
+
+def test_group_folds_with_fewer_groups_than_folds(spark):
+    df = spark.createDataFrame([("a",)] * 5 + [("b",)] * 2 + [(None,)], "g string")
+    got = {r["g"]: r["fold"] for r in splits.group_folds(df, "g").collect()}
+    assert len(set(got.values())) == 3 and set(got.values()) <= set(range(1, 6))
+    assert splits.group_folds(df.where("false"), "g").count() == 0
+
+
 def scored(spark, rows):
     return spark.createDataFrame(rows, "score double, label int")
 
@@ -116,9 +155,10 @@ def test_group_folds(spark):
     rows = [(f"{g}-{i}", g) for g, n in (("a", 50), ("b", 30), ("c", 25), ("d", 10), ("e", 5)) for i in range(n)]
     got = splits.group_folds(spark.createDataFrame(rows, "id string, g string"), "g", 2)
     folds = {r["g"]: r["fold"] for r in got.select("g", "fold").distinct().collect()}
-    assert folds == {"a": 1, "b": 2, "c": 2, "d": 1, "e": 2} and got.count() == len(rows)
-    with pytest.raises(ValueError):
-        splits.group_folds(spark.createDataFrame(rows, "id string, g string"), "id", 2, max_groups=10)
+    # there and back by falling size: no list of groups is held, so the dealing is not greedy any more
+    assert folds == {"a": 1, "b": 2, "c": 2, "d": 1, "e": 1} and got.count() == len(rows)
+    many = splits.group_folds(spark.createDataFrame(rows, "id string, g string"), "id", 2)   # any number of groups
+    assert sorted(r["count"] for r in many.groupBy("fold").count().collect()) == [60, 60]
 
 
 def brute_encoding(train, key):

@@ -37,9 +37,9 @@ from roadpulse.session import settle
 
 PIECES = "piece_bpe_32k.model"
 TWIN = "byte_bpe_50k.tiktoken"   # the ranks of A's merges
-CHUNK_BYTES = 4 << 20
+CHUNK_BYTES = 2 << 20
 LANE = 256                # tokens of A in a lane, about
-REMEMBERED = 300_000      # cuts whose ids a task keeps
+REMEMBERED = 150_000      # cuts whose ids a task keeps
 BIG_GROUP = 1 << 14       # links of a group above which only distinct pairs are written down
 
 

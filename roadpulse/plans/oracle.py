@@ -53,12 +53,12 @@ DIR = """station AS MATERIALIZED (SELECT s.police_station, s.latitude, s.longitu
  JOIN (SELECT police_station, zone, row_number() OVER (PARTITION BY police_station
    ORDER BY count(*) DESC, zone) AS rn FROM eng GROUP BY 1, 2) z
  ON s.police_station = z.police_station AND z.rn = 1)"""
-_HAV = """2E0 * 6371 * asin(sqrt(least(1E0, pow(sin(radians(s.latitude - e.latitude) / 2), 2)
+HAVERSINE = """2E0 * 6371 * asin(sqrt(least(1E0, pow(sin(radians(s.latitude - e.latitude) / 2), 2)
  + cos(radians(e.latitude)) * cos(radians(s.latitude)) * pow(sin(radians(s.longitude - e.longitude) / 2), 2))))"""
 NEAR = f"""near AS MATERIALIZED (SELECT * FROM (
  SELECT e.id AS nid, s.police_station AS station, s.zone AS station_zone, s.latitude AS station_latitude,
-  s.longitude AS station_longitude, round_even(round_even({_HAV}, 9), 2) AS distance_km,
-  row_number() OVER (PARTITION BY e.id ORDER BY round_even({_HAV}, 9), s.police_station) AS rn
+  s.longitude AS station_longitude, round_even(round_even({HAVERSINE}, 9), 2) AS distance_km,
+  row_number() OVER (PARTITION BY e.id ORDER BY round_even({HAVERSINE}, 9), s.police_station) AS rn
  FROM eng e CROSS JOIN station s) q WHERE rn = 1)"""
 TICK = "CAST(ceil(epoch_us({0}) / {1}E0) AS BIGINT)"
 US30 = 30 * 60_000_000

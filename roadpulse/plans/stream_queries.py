@@ -134,6 +134,64 @@ def stream_orders_restart(spark: SparkSession, sf_dir: str) -> DataFrame:
     return spark.read.parquet(out).select("order_id", "issued_at_ist", "police_station", "distance_km")
 
 
+_PARTS = 4
+_DUE = f"coalesce(CAST(extract('day' FROM start_datetime) AS BIGINT) - 1, 0) * {_PARTS} // 31"
+_VERSIONS = f"""part AS MATERIALIZED (SELECT *, {_DUE} AS due FROM inc),
+ vmed AS MATERIALIZED (SELECT n, median(latitude) AS vlat, median(longitude) AS vlon, max(until) AS until
+  FROM (SELECT n, latitude, longitude, max(start_datetime) OVER (PARTITION BY n) AS until
+   FROM part JOIN (SELECT unnest(range(1, {_PARTS})) AS n) v ON due < n) q WHERE {o.OK} GROUP BY n),
+ placed AS MATERIALIZED (SELECT n, due, e.* EXCLUDE (latitude, longitude), CASE WHEN ok THEN p.latitude ELSE vlat END AS latitude,
+  CASE WHEN ok THEN p.longitude ELSE vlon END AS longitude, until
+  FROM (SELECT id, due, latitude, longitude, {o.OK} AS ok FROM part) p JOIN vmed ON due <= n JOIN eng e USING (id)),
+ vprior AS MATERIALIZED (SELECT n, event_cause AS pc, median(duration_min) AS pm FROM placed
+  WHERE due < n AND start_datetime IS NOT NULL AND duration_min IS NOT NULL GROUP BY ALL),
+ vstation AS MATERIALIZED (SELECT s.*, z.zone FROM (SELECT n, police_station, median(latitude) AS latitude,
+   median(longitude) AS longitude FROM placed WHERE due < n AND police_station <> 'Unknown' GROUP BY ALL HAVING count(*) >= 5) s
+  JOIN (SELECT n, police_station, zone, row_number() OVER (PARTITION BY n, police_station ORDER BY count(*) DESC, zone) AS rn
+   FROM placed WHERE due < n GROUP BY 1, 2, 3) z ON z.n = s.n AND z.police_station = s.police_station AND rn = 1)"""
+
+
+@query("stream_refresh", o.with_tables(
+    f"""SELECT concat('DSP-', id) AS order_id, {o.stamp('until')} AS known_until, latitude, longitude, station AS police_station,
+ distance_km, round(stay, 6) AS sim_duration_min,
+ {o.stamp("make_timestamp(epoch_us(start_datetime) + CAST(round(stay * 6e7) AS BIGINT))")} AS sim_end
+ FROM (SELECT e.*, s.police_station AS station, round_even(round_even({o.HAVERSINE}, 9), 2) AS distance_km,
+  greatest(least(coalesce(CASE WHEN is_high_priority = 1 THEN p50 END, pm, 60E0), 720E0), 5E0) AS stay,
+  row_number() OVER (PARTITION BY e.id ORDER BY round_even({o.HAVERSINE}, 9), s.police_station) AS rn
+  FROM placed e JOIN (SELECT id AS fid, p50 FROM fc) f ON id = fid JOIN vstation s ON s.n = e.n
+  LEFT JOIN vprior ON vprior.n = e.n AND pc = event_cause
+  WHERE due = e.n AND start_datetime IS NOT NULL) q WHERE rn = 1""", "fc", extra=_VERSIONS))
+def stream_refresh(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """One running stream of orders; before each delivery a version learned from all earlier ones is published.
+
+    Only events of high priority count on their forecast; the others stay for their cause's median.
+    """
+    history = settle(raw_incidents(spark, sf_dir), "history")
+    path, priors, out, checkpoint = (scratch_path(spark, n) for n in ("feed", "priors", "orders", "checkpoint"))
+    store = PriorStore(spark, priors)
+    due = F.coalesce(F.floor((F.dayofmonth("start_datetime") - 1) * _PARTS / F.lit(31)), F.lit(0))
+    open_folder(spark, history.schema, path)
+    running = None
+    try:
+        for part in range(1, _PARTS):
+            known = history.where(due < part)
+            medians = features.CoordinateMedians.fit(known)
+            store.publish(features.engineer(known, medians), medians)
+            history.where(due == part).write.mode("append").parquet(path)
+            if running is None:
+                running = jobs.start_refreshed_orders(
+                    source.read_stream(spark, path, schema=history.schema), store, out, checkpoint,
+                    lambda b: recommend(fixture.pseudo_forecasts(b)), F.when(F.col("is_high_priority") == 1, F.col("p50")),
+                    processingTime="0 seconds")
+            running.processAllAvailable()
+    finally:
+        if running is not None:
+            running.stop()
+    return spark.read.parquet(out).select(
+        "order_id", stamp("known_until").alias("known_until"), "latitude", "longitude", "police_station", "distance_km",
+        F.round("sim_duration_min", 6).alias("sim_duration_min"), stamp("sim_end").alias("sim_end"))
+
+
 @query("stream_late_counts", o.with_tables(
     f"""SELECT d.b AS batch_id, CAST(sum(n) AS BIGINT) AS rows,
  CAST(coalesce(sum(CASE WHEN t <= before.newest - 2 THEN n END), 0) AS BIGINT) AS late_rows,

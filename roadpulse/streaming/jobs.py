@@ -14,12 +14,13 @@ from __future__ import annotations
 from collections.abc import Callable
 from contextlib import contextmanager
 
-from pyspark.sql import DataFrame, SparkSession, functions as F
+from pyspark.sql import Column, DataFrame, SparkSession, functions as F
 from pyspark.sql.streaming import StreamingQuery
 
 from roadpulse.config import CLOSURE_FLAG, CityConfig, DEFAULT_CITY
 from roadpulse.operators import congestion, dispatch, feed, features
 from roadpulse.operators.features import CoordinateMedians
+from roadpulse.streaming.refresh import PriorStore
 
 LATENESS_MINUTES = 60
 STATE_PROVIDER = "spark.sql.streaming.stateStore.providerClass"
@@ -131,6 +132,44 @@ def start_orders(arrived: DataFrame, forecast: Callable[[DataFrame], DataFrame],
     without a restart. An id gets one order over the stream's life (``once_per_id``); the
     log is written and never read. ``per_tick`` limits the orders of a tick over all
     batches (``None`` dispatches every event); within a batch the newest come first.
+    """
+    def orders(chosen: DataFrame) -> DataFrame:
+        cells, per_axis = directory()
+        return orders_stream(chosen, forecast, cells, per_axis, city)
+
+    return _start_order_log(arrived, orders, path, checkpoint, per_tick, city, lateness_minutes, trigger)
+
+
+def start_refreshed_orders(reported: DataFrame, store: PriorStore, path: str, checkpoint: str,
+                           forecast: Callable[[DataFrame], DataFrame] | None = None, known: Column | None = None,
+                           per_tick: int | None = None, city: CityConfig = DEFAULT_CITY,
+                           lateness_minutes: int = LATENESS_MINUTES, **trigger) -> StreamingQuery:
+    """Orders from raw reports with everything learned taken from the newest published version.
+
+    A batch asks the store once and takes all of that version: coordinate medians, cause
+    priors, station cells and, unless ``forecast`` is given, the forecaster. A version
+    published while the stream runs is in force from the next batch on, with no restart, and
+    no batch mixes two versions. Each order says which one it came from (``version``, and
+    ``known_until``, the newest start in its history) and how long the event will stay on the
+    feed: ``known`` (the forecast median where not given), else the version's cause median.
+    A replayed batch overwrites its orders, possibly from a newer version than before.
+    """
+    def orders(chosen: DataFrame) -> DataFrame:
+        version = store.version()
+        cells, per_axis = version.cells()
+        rows = features.engineer(chosen, version.medians(), city)
+        planned = (forecast or version.forecaster(city).forecast)(rows)
+        live = feed.add_lifetime(planned, version.table("cause_priors"), city, F.col("p50") if known is None else known)
+        routed = dispatch.dispatch_orders(live, cells, per_axis, city=city, carry=("tick_no", "sim_duration_min", "sim_end"))
+        return routed.withColumns({"version": F.lit(version.name), "known_until": F.lit(version.known_until).cast("timestamp")})
+
+    arrived = arrival_ticks(feed.started(features.parse_timestamps(reported)), city)
+    return _start_order_log(arrived, orders, path, checkpoint, per_tick, city, lateness_minutes, trigger)
+
+
+def _start_order_log(arrived: DataFrame, orders_of: Callable[[DataFrame], DataFrame], path: str, checkpoint: str,
+                     per_tick: int | None, city: CityConfig, lateness_minutes: int, trigger: dict) -> StreamingQuery:
+    """Log ``orders_of`` the chosen rows of each batch.
 
     Beside the log, each batch leaves the orders given to every tick that is still open and
     the newest tick so far, and reads those of the batch before. Ticks older than the
@@ -144,15 +183,13 @@ def start_orders(arrived: DataFrame, forecast: Callable[[DataFrame], DataFrame],
     open_span = -(-lateness_minutes // city.tick_minutes)
 
     def write(batch: DataFrame, batch_id: int) -> None:
-        cells, per_axis = directory()
         given = spark.read.schema(schema).parquet(_batch_path(ticks, batch_id - 1)) if batch_id > 0 else spark.createDataFrame([], schema)
         if per_tick is not None:
             closed = given.agg(F.max("newest").alias("newest")).first()["newest"]  # one row a tick of the open span
             if closed is not None:
                 batch = batch.where(F.col("tick_no") > closed - open_span)
         chosen = feed.newest_per_tick(batch, per_tick, given)
-        orders = orders_stream(chosen, forecast, cells, per_axis, city)
-        orders.write.mode("overwrite").parquet(_batch_path(path, batch_id))
+        orders_of(chosen).write.mode("overwrite").parquet(_batch_path(path, batch_id))
         issued = spark.read.schema("tick_no bigint").parquet(_batch_path(path, batch_id))
         counts = issued.groupBy("tick_no").agg(F.count(F.lit(1)).alias("orders")).withColumn("newest", F.col("tick_no"))
         counts = given.unionByName(counts).groupBy("tick_no").agg(F.sum("orders").alias("orders"), F.max("newest").alias("newest"))

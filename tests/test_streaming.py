@@ -4,8 +4,12 @@ from __future__ import annotations
 
 from pyspark.sql import functions as F
 
-from roadpulse.operators import congestion
-from roadpulse.streaming import jobs
+import pytest
+
+from roadpulse.operators import congestion, features
+from roadpulse.session import settle
+from roadpulse.sources import fixture
+from roadpulse.streaming import jobs, refresh
 
 SCHEMA = "id string, start_datetime timestamp, sim_end timestamp, corridor string, requires_road_closure int, is_peak int"
 
@@ -95,6 +99,45 @@ def test_arrivals_keep_rows_without_an_id(spark, tmp_path):
     assert sorted(str(r["id"]) for r in spark.read.parquet(out).collect()) == ["None"] * 3 + ["a", "b"]
 
 
+class Model:
+    """Stands for a forecaster: writes its number, reads it back."""
+
+    loads = []
+
+    def __init__(self, number):
+        self.number = number
+
+    def save(self, spark, path):
+        spark.range(self.number, self.number + 1).write.parquet(path)
+
+    @classmethod
+    def load(cls, spark, path, city):
+        cls.loads.append(path)
+        return cls(spark.read.parquet(path).first()["id"])
+
+
+def test_a_version_is_taken_whole_and_its_models_once(spark, tmp_path, monkeypatch):
+    monkeypatch.setattr(refresh, "Forecaster", Model)
+    Model.loads.clear()
+    store = refresh.PriorStore(spark, str(tmp_path / "store"))
+    raw = settle(fixture.incidents(spark, "/root/testdata/sf0.001"), "raw")
+    spots = features.CoordinateMedians(13.0, 77.5)
+    early = features.engineer(raw.where(F.dayofmonth("start_datetime") <= 10), spots)
+    store.publish(early, spots, forecaster=Model(1))
+    first = store.version()
+    before = sorted(map(tuple, first.table("cause_priors").collect()))
+    assert first.forecaster().number == first.forecaster().number == 1 and len(Model.loads) == 1
+    store.publish(features.engineer(raw, spots), features.CoordinateMedians(12.9, 77.6))
+    second = store.version()
+    assert second.name != first.name and second.known_until > first.known_until
+    assert (second.medians().latitude, first.medians().latitude) == (12.9, 13.0)
+    # the version taken before stays what it was
+    assert sorted(map(tuple, first.table("cause_priors").collect())) == before
+    assert sorted(map(tuple, second.table("cause_priors").collect())) != before
+    with pytest.raises(ValueError):
+        second.forecaster()
+
+
 def test_late_counts(spark, tmp_path):
     path, out, cp = (str(tmp_path / n) for n in ("in", "out", "cp"))
     for rows in DELIVERIES:

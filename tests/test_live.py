@@ -107,6 +107,31 @@ def test_nearest_station_equals_brute_force(spark, stations):
         assert got[i]["station"] == name and got[i]["distance_km"] == pytest.approx(km, abs=0.0051)
 
 
+@pytest.mark.parametrize("stations", [5, 1500])
+def test_nearest_station_beyond_the_box(spark, stations):
+    """Far points, past the poles and the date line too; a cell of the rings keeps few stations."""
+    draw = random.Random(stations)
+    directory = [(f"S{i:04d}", draw.uniform(12.6, 13.3), draw.uniform(77.3, 77.9), 5, "Z") for i in range(stations)]
+    if stations == 5:
+        directory += [("far", 40.0, -75.0, 5, "Z"), ("south", -89.0, 10.0, 5, "Z")]
+    directory.append(("nowhere", None, 77.5, 5, "Z"))
+    points = [(i, draw.uniform(-90, 90), draw.uniform(-180, 180)) for i in range(300)]
+    points += [(300 + i, 12.95 + draw.gauss(0, 1), 77.6 + draw.gauss(0, 1)) for i in range(300)]
+    points += [(700, 95.0, 20.0), (701, -100.0, 700.0), (702, 13.0, 257.9), (703, 90.0, 0.0), (704, -90.0, 0.0), (705, 12.95, -102.0)]
+    table, per_axis = dispatch.station_cells(spark.createDataFrame(
+        directory, "police_station string, latitude double, longitude double, events_handled long, zone string"))
+    # ring 53 of 64 ends at 75 degrees; the antipode is about as far from all stations
+    kept = table.where(f"cell < 0 AND (-1 - cell) div {per_axis} <= 53").selectExpr("max(size(candidates))", "avg(size(candidates))").first()
+    assert kept[0] <= 90 and kept[1] < 12
+    got = {r["i"]: r for r in dispatch.nearest_station(spark.createDataFrame(
+        points + [(800, float("inf"), 77.5), (801, float("nan"), 1.0), (802, None, 1.0)],
+        "i int, latitude double, longitude double"), table, per_axis).collect()}
+    assert len(got) == len(points) + 3 and all(got[i]["station"] is None for i in (800, 801, 802))
+    for i, lat, lon in points:
+        km, name = min((round(haversine(lat, lon, s[1], s[2]), 9), s[0]) for s in directory[:-1])
+        assert got[i]["station"] == name and got[i]["distance_km"] == pytest.approx(km, abs=0.0051)
+
+
 def test_new_between_and_cap(spark):
     df = events(spark, [(f"e{i}", f"2024-01-01 10:{i:02d}:00", "2024-01-01 12:00:00", "A", 0, 0) for i in range(0, 31)])
     new = feed.new_between(df, F.lit("2024-01-01 10:00:00").cast("timestamp"), F.lit("2024-01-01 10:30:00").cast("timestamp"))

@@ -187,14 +187,28 @@ def test_target_encoding(spark):
         assert r["e"] == pytest.approx(brute_encoding(whole, r["k"]))
 
 
-def test_rare_values_are_pooled(spark):
-    df = spark.createDataFrame([("x",)] * 10 + [("y",)] * 9 + [(None,)], "c string")
-    pool = encoders.fit_rare_pool(df, ["c"], 10)
-    got = {r["c"]: r["p"] for r in spark.createDataFrame([("x",), ("y",), ("new",)], "c string").select(
-        "c", encoders.pooled("c", pool["c"]).alias("p")).collect()}
-    assert got == {"x": "x", "y": encoders.RARE, "new": None}
-    with pytest.raises(ValueError):
-        encoders.fit_rare_pool(df, ["c"], 10, max_values=1)
+def test_rare_values_share_a_position(spark):
+    df = spark.createDataFrame([("a",)] * 12 + [("b",)] * 10 + [("c",), ("d",), (None,)], "c string")
+    table = encoders.fit_dictionary(df, ["c"], 10)
+    sizes = encoders.dictionary_sizes(table, ["c", "never"])
+    assert sizes == {"c": 3, "never": 1}
+    asked = spark.createDataFrame([("a",), ("b",), ("c",), ("d",), ("new",), (None,)], "c string")
+    placed = encoders.apply_dictionary(asked, table, {"c": "i"}, {"c": 3})
+    hot = encoders.one_hot(spark, {"c": 3}, {"c": "i"}, {"c": "v"}).transform(placed)
+    got = {r["c"]: (int(r["i"]), r["v"].toArray().tolist()) for r in hot.collect()}
+    assert {got["a"][0], got["b"][0]} == {0, 1} and got["c"][0] == got["d"][0] == 2
+    assert all(v[at] == 1 and sum(v) == 1 for at, v in (got[x] for x in "abcd"))
+    assert got["new"] == got[None] == (3, [0.0, 0.0, 0.0])
+
+
+def test_dictionary_of_many_values(spark):
+    many = spark.range(20_000).select(F.explode(F.array_repeat(F.concat(F.lit("v"), "id"), 2)).alias("c"))
+    table = encoders.fit_dictionary(many.unionByName(spark.range(9).select(F.concat(F.lit("w"), "id").alias("c"))), ["c"], 2)
+    own = table.where("NOT rare")
+    assert own.agg(F.count("*"), F.countDistinct("position"), F.max("position")).first() == (20_000, 20_000, 19_999)
+    assert [r[0] for r in table.where("rare").select("position").distinct().collect()] == [20_000]
+    assert encoders.fit_dictionary(many.limit(0), ["c"], 2).count() == 0
+
 
 
 def test_regression_metrics(spark):

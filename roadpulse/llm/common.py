@@ -33,6 +33,27 @@ def partitions_for(df: DataFrame, per_gb: int = 0) -> int:
     return int(df.sparkSession.conf.get("spark.sql.shuffle.partitions"))
 
 
+def in_share(key: Column, share: float) -> Column:
+    """Rows of a hash sample: exact to 1e-18 of a share, so that no table is too large for it."""
+    million = F.pmod(key, F.lit(1_000_000))
+    finer = F.pmod(F.shiftright(key, 20), F.lit(10 ** 12)) / F.lit(1e12)
+    bound = share * 1e6
+    whole = int(bound)
+    return (million < whole) | ((million == whole) & (finer < bound - whole))
+
+
+def free_names(names: list[str], taken: list[str]) -> dict[str, str]:
+    """Each of ``names``, with underscores behind it while a column has that name already."""
+    used, out = {c.lower() for c in taken}, {}
+    for name in names:
+        free = name
+        while free.lower() in used:
+            free += "_"
+        used.add(free.lower())
+        out[name] = free
+    return out
+
+
 def lower_ascii(column: Column) -> Column:
     return F.translate(column, "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz")
 

@@ -17,7 +17,7 @@ from __future__ import annotations
 
 from pyspark.sql import Column, DataFrame, Window as W, functions as F
 
-from roadpulse.llm.common import WORD
+from roadpulse.llm.common import WORD, free_names
 from roadpulse.session import settle
 
 BLOCKS = 4096
@@ -87,8 +87,10 @@ def _keys(df: DataFrame, epoch: Column, seed: int) -> DataFrame:
 
 
 def mix(docs: DataFrame, target_entropy: float | None = None, repetition_limit: float | None = None, seed: int = 17) -> DataFrame:
-    """``docs`` with a row per copy: epoch (from 0), block, block_key, doc_key and n_tokens added.
+    """``docs`` with a row per copy: n_tokens, epoch (from 0), block, block_key and doc_key added.
 
+    Where ``docs`` has such a name itself, its column stays and the added one gets an
+    underscore behind its name.
     Reading order is by epoch, block_key, doc_key within a source.
     """
     rows = docs.select("doc_id", "text", "source", token_count().alias("tokens"),
@@ -112,4 +114,6 @@ def mix(docs: DataFrame, target_entropy: float | None = None, repetition_limit:
     copies = rows.join(known, same).withColumn("epoch", F.explode(F.sequence(F.lit(0), F.col("epochs"))))
     keyed = _keys(copies, F.col("epoch"), seed)
     taken = (F.col("epoch") < F.col("epochs")) | F.coalesce(F.struct("block_key", "block", "doc_key") <= F.col("stop"), F.lit(False))
-    return keyed.where(taken).select("row.*", F.col("tokens").alias("n_tokens"), "epoch", "block", "block_key", "doc_key")
+    added = free_names(["n_tokens", "epoch", "block", "block_key", "doc_key"], docs.columns)
+    return keyed.where(taken).withColumnRenamed("tokens", "n_tokens").select(
+        "row.*", *[F.col(name).alias(free) for name, free in added.items()])

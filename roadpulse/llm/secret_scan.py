@@ -29,6 +29,8 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, functions as F
 from pyspark.sql.functions import pandas_udf
 
+from roadpulse.llm.common import in_share
+
 SAMPLE_ROWS = 8000
 WINDOW, PLAIN_EVERY, WINDOWS_A_ROW = 8, 6, 6
 EPOCHS, RIDGE = 60, 0.02
@@ -360,8 +362,7 @@ def fit(windows: list[tuple[list[str], list[int], int]]) -> Field:
 def train(docs: DataFrame, limit: int = SAMPLE_ROWS) -> Field:
     texts = docs.select(F.coalesce("text", F.lit("")).alias("text"))
     share = min(1.0, limit / max(docs.count(), 1))
-    hashed = F.pmod(F.xxhash64("text"), F.lit(1_000_000))
-    sample = texts.where(hashed < F.lit(int(share * 1_000_000))).withColumn("plain", F.pmod(F.hash("text"), F.lit(PLAIN_EVERY)) == 0)
+    sample = texts.where(in_share(F.xxhash64("text"), share)).withColumn("plain", F.pmod(F.hash("text"), F.lit(PLAIN_EVERY)) == 0)
 
     def run(batches):
         kind = pa.list_(pa.string()), pa.list_(pa.int32()), pa.int32()

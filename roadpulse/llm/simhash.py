@@ -210,6 +210,8 @@ def keep_one(docs: DataFrame) -> DataFrame:
     first = F.min(F.struct(F.col("doc_id").isNull().alias("nameless"), "doc_id", "fingerprint", "text_key", "rest_key"))
     kept = rows.groupBy("label").agg(first.alias("row")).select(
         F.col("row.doc_id").alias("k_id"), F.col("row.text_key").alias("k_text"), F.col("row.rest_key").alias("k_rest"))
-    keyed = docs.withColumns({"_text_key": text_key, "_rest_key": rest_key})
-    same = F.col("doc_id").cast("bigint").eqNullSafe(F.col("k_id")) & (F.col("_text_key") == F.col("k_text")) & (F.col("_rest_key") == F.col("k_rest"))
-    return keyed.join(kept, same, "left_semi").dropDuplicates(["doc_id", "_text_key", "_rest_key"]).select(*docs.columns)
+    # the whole row travels as one column, so no name of docs can clash
+    keyed = docs.select(F.struct(*docs.columns).alias("row"), F.col("doc_id").cast("bigint").alias("id"),
+                        text_key.alias("text_key"), rest_key.alias("rest_key"))
+    same = F.col("id").eqNullSafe(F.col("k_id")) & (F.col("text_key") == F.col("k_text")) & (F.col("rest_key") == F.col("k_rest"))
+    return keyed.join(kept, same, "left_semi").dropDuplicates(["id", "text_key", "rest_key"]).select("row.*")

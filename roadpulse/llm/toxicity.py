@@ -26,7 +26,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, functions as F
 from pyspark.sql.functions import pandas_udf
 
-from roadpulse.llm.common import pieces
+from roadpulse.llm.common import in_share, pieces
 from roadpulse.session import settle
 
 SAMPLE_ROWS = 20_000
@@ -45,6 +45,8 @@ _LETTERS = set("abcdefghijklmnopqrstuvwxyz")
 PART, KNOWN = 5, 3.0
 _SIGN = "[a-z%s]" % re.escape("".join(sorted(set(LOOKS_LIKE) | SEPARATORS - {" "} | set(";?!\"()"))))
 _WINDOW = re.compile(rf"(?<!\S){_SIGN}{{1,{PART}}}(?:\s+{_SIGN}{{1,{PART}}}(?!\S))+")
+_CODED = re.compile("[a-z%s]+" % re.escape("".join(sorted(set(LOOKS_LIKE) | SEPARATORS))))
+_LETTER, _SIGN_INSIDE, _TRIPLE = re.compile("[a-z]"), re.compile("[^a-z]"), re.compile(r"([a-z])\1\1")
 _GAP, _REPEATED, _NO_LETTER = re.compile(r"\s+"), re.compile(r"([a-z])\1+"), re.compile("[^a-z\0]+")
 _CLOSING = re.compile(r"""(?<=\S)[.,;:?!"')]+(?=\s|$)|(?<!\S)["'(]+(?=[a-z])""")
 # Look-alikes as one sign (l as i, which some of them share with it), or none.
@@ -58,7 +60,7 @@ def training_rows(docs: DataFrame, labels: DataFrame, limit: int = SAMPLE_ROWS)
     wanted = labels.where("toxic is not null").select(key.alias("l_id"), F.col("toxic").cast("int").alias("toxic")).where(
         F.crc32(F.col("l_id").cast("string")) % 5 != 0).distinct()
     share = min(1.0, limit / max(wanted.count(), 1))
-    chosen = wanted.where(F.pmod(F.xxhash64("l_id"), F.lit(1_000_000)) < F.lit(int(share * 1_000_000)))
+    chosen = wanted.where(in_share(F.xxhash64("l_id"), share))
     # a sample of bounded size, so it may be broadcast
     rows = docs.select(key.alias("doc_id"), F.coalesce("text", F.lit("")).alias("text"))
     return rows.join(F.broadcast(chosen), F.col("doc_id") == F.col("l_id")).select("text", "toxic")
@@ -83,10 +85,8 @@ class Reader:
         self.table: np.ndarray | None = None
 
     def suspicious(self, word: str) -> bool:
-        letters = sum(c in _LETTERS for c in word)
-        if not letters or letters + sum(c in LOOKS_LIKE or c in SEPARATORS for c in word) < len(word):
-            return False
-        return letters < len(word) or any(word[i] == word[i + 1] == word[i + 2] for i in range(len(word) - 2))
+        return _CODED.fullmatch(word) is not None and _LETTER.search(word) is not None and (
+            _TRIPLE.search(word) is not None or _SIGN_INSIDE.search(word) is not None)
 
     def restore(self, token: str) -> str:
         """The likeliest reading of a token: a Viterbi search over its lattice.
@@ -157,7 +157,10 @@ class Reader:
         if known is None:
             if len(self.weights) > CACHE_ENTRIES:
                 self.weights.clear()
-            known = max((self.lexicon[f] for w in self.readings(token) for f in self.found(w)), default=0.0)
+            if token.isalpha() and token.isascii() and not _TRIPLE.search(token):   # its own only reading
+                known = max([self.lexicon[f] for f in features(token) if f in self.lexicon], default=0.0)
+            else:
+                known = max((self.lexicon[f] for w in self.readings(token) for f in self.found(w)), default=0.0)
             self.weights[token] = known
         return known
 
@@ -208,8 +211,11 @@ class Reader:
 
     def evidence(self, text: str) -> tuple[float, float]:
         text = text.lower()
-        known = self.weights
-        hits = [w for t in text.split() if (w := known[t] if t in known else self.weight(t))]
+        tokens = text.split()
+        known = list(map(self.weights.get, tokens))
+        if None in known:
+            known = [self.weight(t) if w is None else w for t, w in zip(tokens, known)]
+        hits = list(filter(None, known))
         windows = _WINDOW.findall(text) if self.lexicon else []
         if windows:
             for i in sorted(self.may_hide(windows)):
@@ -265,14 +271,14 @@ def _letters(words: Counter) -> Counter:
 
 
 def _seen(rows: DataFrame) -> DataFrame:
-    """(key, n): in how many rows a word or beginning is; equal texts of a batch count once."""
+    """(key, n): in how many different texts a word or beginning is, however the rows lie in partitions."""
     def run(batches):
         total = Counter()
         for batch in batches:
-            for text in set(batch.column(0).to_pylist()):
+            for text in batch.column(0).to_pylist():
                 total.update({f for w in {w.strip(OUTER) for w in text.lower().split()} if len(w) > 2 for f in features(w)})
         yield _table(total)
-    return _summed(rows, run)
+    return _summed(rows.select("text").distinct(), run)
 
 
 def _logistic(x: np.ndarray, y: np.ndarray, ridge: float = 1.0) -> np.ndarray:

@@ -14,7 +14,7 @@ import pytest
 import xxhash
 from pyspark.sql import functions as F
 
-from roadpulse.llm import mixing, neighbours, packing, quality_rules, recompression, secret_scan, simhash, suffix_dedup, suffix_tree_lm, toxicity
+from roadpulse.llm import common, mixing, neighbours, packing, quality_rules, recompression, secret_scan, simhash, suffix_dedup, suffix_tree_lm, toxicity
 
 SCHEMA = "doc_id bigint, text string, lang string, source string, n_chars bigint, th int, lo string, key string, words string, n string, fp string"
 
@@ -364,9 +364,9 @@ def test_words_spelled_over_spaces(spark):
 
 def test_toxic_lexicon_keeps_rare_words(spark):
     rng = random.Random(5)
-    common = [f"plain{i}" for i in range(5000)]
-    rows = [(" ".join(rng.sample(common, 1000)) + (" vermin" if i < 5 else " idiot"), 1) for i in range(600)]
-    rows += [(" ".join(rng.sample(common, 1000)), 0) for _ in range(600)]
+    plain = [f"plain{i}" for i in range(5000)]
+    rows = [(" ".join(rng.sample(plain, 1000)) + (" vermin" if i < 5 else " idiot"), 1) for i in range(600)]
+    rows += [(" ".join(rng.sample(plain, 1000)), 0) for _ in range(600)]
     found = toxicity.lexicon(spark.createDataFrame(rows, "text string, toxic int"), 600, 600)
     assert {"vermin", "idiot"} <= set(found) and not any("plain" in f for f in found)
 
@@ -473,3 +473,31 @@ def test_pipeline_stages_keep_columns(spark, tmp_path):
     assert ids == {i for i in range(60) if i % 10 != 1} | {71, None}
     packed = corpus_pipeline.run(spark, str(tmp_path)).collect()
     assert {r["doc_id"] for r in packed} == ids
+
+
+def test_internal_names_as_columns(spark):
+    """Columns of documents that carry the names the operators use inside come back bit for bit."""
+    names = ["epoch", "n_tokens", "block", "block_key", "Doc_Key", "k_id", "k_text", "k_rest", "_text_key", "_rest_key",
+             "text_key", "rest_key", "row", "id", "tokens", "label", "fp", "k", "stop", "epochs", "rest"]
+    rows = [(i, f"w{i} " * (5 + i), "ab"[i % 2], *(f"{n}{i}" for n in names)) for i in range(12)]
+    table = spark.createDataFrame(rows, "doc_id bigint, text string, source string, " + ", ".join(f"`{n}` string" for n in names))
+    kept = simhash.keep_one(table)
+    assert kept.columns == table.columns and sorted(map(tuple, kept.collect())) == sorted(rows)
+    mixed = mixing.mix(table, repetition_limit=2.0)
+    assert mixed.columns[-5:] == ["n_tokens_", "epoch_", "block_", "block_key_", "doc_key_"]
+    assert set(map(tuple, mixed.select(*table.columns).collect())) == set(rows)
+
+
+def test_hash_samples_of_any_share(spark):
+    key = F.xxhash64("id")
+    rows = spark.range(4_000_000)
+    count = lambda share: rows.where(common.in_share(key, share)).count()
+    assert count(1.0) == 4_000_000 and count(0.0) == 0
+    assert 1 <= count(2.5e-7) + count(2.5e-6) <= 40    # below a millionth, and between two
+    assert abs(count(0.25) - 1_000_000) < 5000
+
+
+def test_toxic_words_do_not_depend_on_partitions(spark):
+    rows = spark.createDataFrame([("some nasty words",)] * 40 + [("nasty again",)], "text string")
+    seen = [{r["key"]: r["n"] for r in toxicity._seen(rows.repartition(n)).collect()} for n in (1, 8)]
+    assert seen[0] == seen[1] and seen[0]["nasty"] == 2 and seen[0]["words"] == 1

@@ -1,0 +1,10 @@
+"""Learned features and models.
+
+Functions that run in tasks are shipped by value, so executors need no copy of this package.
+"""
+
+import sys
+
+from pyspark import cloudpickle
+
+cloudpickle.register_pickle_by_value(sys.modules[__name__])

@@ -6,7 +6,7 @@ import pytest
 from pyspark.sql import functions as F, types as T
 
 from roadpulse.functions import temporal
-from roadpulse.session import check_one_machine
+from roadpulse.session import check_one_machine, settle, spread
 
 
 @pytest.mark.parametrize("zone", ["America/New_York", "Pacific/Auckland"])
@@ -33,3 +33,12 @@ def test_a_cluster_needs_a_shared_folder():
             check_one_machine(master)
     check_one_machine("local")
     check_one_machine("local[8]")
+
+
+def test_many_small_rows_are_spread_over_tasks(spark):
+    few, many = (settle(spark.range(0, n, 1, 1), "ids") for n in (100, 120_000))
+    assert spread(few) is few
+    wide = spread(many)
+    assert wide.rdd.getNumPartitions() >= 3
+    assert wide.agg(F.count("id"), F.sum("id"), F.count_distinct("id")).first() == many.agg(
+        F.count("id"), F.sum("id"), F.count_distinct("id")).first()

@@ -297,6 +297,58 @@ def test_tree_is_a_distribution():
     assert tree.score([b"ab"])[0] > tree.score([b"zq"])[0] + 1
 
 
+def _token_tree(texts):
+    """Tree and word numbers of the texts, every run counted one by one."""
+    words = sorted({w for t in texts for w in t})
+    number = {w: i for i, w in enumerate(words, suffix_tree_lm.END + 1)}
+    runs = collections.Counter()
+    for t in texts:
+        row = [suffix_tree_lm.START, *(number[w] for w in t), suffix_tree_lm.END]
+        for i in range(len(row)):
+            for j in range(i + 1, min(i + suffix_tree_lm.REACH + 1, len(row)) + 1):
+                code = 0
+                for x in row[i:j]:
+                    code = code << suffix_tree_lm.BITS | x
+                runs[code] += 1
+    runs = {c: n for c, n in runs.items() if n >= 2}
+    p = np.ones(len(words) + suffix_tree_lm.END + 1)
+    p[:suffix_tree_lm.END] = 0
+    return suffix_tree_lm.TokenTree(np.array(list(runs)), np.array(list(runs.values())), p / p.sum()), number, p / p.sum()
+
+
+def test_token_tree_is_a_distribution():
+    rng = random.Random(5)
+    texts = [[rng.choice(["a b c d", "a c", "b b d", "e"]) for _ in range(12)] for _ in range(20)]
+    texts = [" ".join(t).encode().split() for t in texts]
+    tree, number, root = _token_tree(texts)
+    kept = np.flatnonzero(tree.rest < 1)
+    depths = {sum(int(tree.codes[k]) >> (suffix_tree_lm.BITS * d) > 0 for d in range(4)) for k in kept}
+    assert len(kept) > 5 and max(depths) >= 2
+    for before in ([], [b"a"], [b"a", b"b"], [b"b", b"b", b"d"], [b"d", b"a", b"b", b"c"]):
+        ahead = [suffix_tree_lm.START, *(number[w] for w in before)]
+        total = sum(tree.predict(np.array([*ahead, x]), np.array([1.0] * len(ahead) + [root[x]]))[-1]
+                    for x in range(suffix_tree_lm.END, len(root)))
+        assert total == pytest.approx(1.0)
+    after = np.array([suffix_tree_lm.START, number[b"a"], number[b"b"], number[b"c"]])
+    assert tree.predict(after, root[after])[-1] > 3 * root[number[b"c"]]
+
+
+def test_tokens_are_predicted_from_the_tokens_before(spark, monkeypatch):
+    rng = random.Random(6)
+    names = [f"n{i}" for i in range(12)]
+    said = [" ".join(f"{n} met {n}x at noon" for n in rng.choices(names, k=6)) for _ in range(60)]
+    held = [i for i in range(1000, 2000) if zlib.crc32(str(i).encode()) % 10 == 0][:2]
+    turned = " ".join(reversed(said[0].split()))
+    rows = [(i, t) for i, t in zip((i for i in range(1000) if zlib.crc32(str(i).encode()) % 10), said)] + [(held[0], said[0]), (held[1], turned)]
+    docs = spark.createDataFrame(rows, "doc_id bigint, text string")
+    got = {r["doc_id"]: r for r in suffix_tree_lm.score_texts(docs.repartition(1)).collect()}
+    assert got[held[0]]["base_score"] == pytest.approx(got[held[1]]["base_score"])
+    assert got[held[0]]["score"] > got[held[1]]["score"] + 10  # same words, in the order of the training texts
+    monkeypatch.setattr(suffix_tree_lm, "BLOCK", 50)
+    again = {r["doc_id"]: r["score"] for r in suffix_tree_lm.score_texts(docs.repartition(5)).collect()}
+    assert again == pytest.approx({k: r["score"] for k, r in got.items()})
+
+
 def test_quality_rules(spark, docs, empty):
     import duckdb
     documents = docs.select("doc_id", "text").toPandas().astype({"doc_id": "Int64"})  # noqa: F841 - read by the query

@@ -17,7 +17,9 @@ no rows.
 from __future__ import annotations
 
 import base64
+import functools
 import re
+import struct
 import zlib
 
 import numpy as np
@@ -37,7 +39,7 @@ class Tokens:
     """Token ids of texts as little-endian 32-bit strings.
 
     A text is cut at its single spaces, where the tokenizer's pre-tokens never cross, and
-    the ids of each cut are remembered. Cuts of characters beyond Latin letters go through
+    the ids of each cut are remembered; a text's new cuts are encoded together. Cuts of characters beyond Latin letters go through
     the tokenizer file itself; the others through its faster twin with the same ids.
     """
 
@@ -52,30 +54,59 @@ class Tokens:
         self.fast = tiktoken.Encoding("byte_bpe_50k", pat_str=public_tokenizers.PATTERN, mergeable_ranks=ranks,
                                       special_tokens={"<|endoftext|>": len(ranks)})
         self.plain = re.compile(r"[\x00-ɏ]*").fullmatch
-        self.rough = re.compile(r" \s|\s ").search
+        self.spaced = np.zeros(self.fast.n_vocab + self.exact.get_vocab_size(), bool)
+        self.spaced[[i for piece, i in ranks.items() if piece.startswith(b" ")]] = True
         self.known: dict[str, bytes] = {}
 
+    def _ids(self, text: str) -> list[int]:
+        if not self.plain(text):
+            return self.exact.encode(text, add_special_tokens=False).ids
+        if "<|" in text:
+            return self.fast.encode(text, allowed_special="all")
+        return self.fast.encode_ordinary(text)
+
     def _encode(self, text: str) -> bytes:
-        if self.plain(text):
-            ids = self.fast.encode(text, allowed_special="all")
-        else:
-            ids = self.exact.encode(text, add_special_tokens=False).ids
-        return np.array(ids, "<u4").tobytes()
+        ids = self._ids(text)
+        return struct.pack(f"<{len(ids)}I", *ids)
+
+    def _learn(self, cuts: list[str]) -> bool:
+        """Remember the ids of ``cuts``, encoded in one go: a token that begins with a space begins a cut."""
+        ids = np.array(self._ids(" " + " ".join(cuts)), "<u4")
+        at = np.flatnonzero(self.spaced[ids])
+        if len(at) != len(cuts):
+            return False
+        data, ends = ids.tobytes(), [*(at[1:] * 4).tolist(), len(ids) * 4]
+        for cut, start, end in zip(cuts, (at * 4).tolist(), ends):
+            self.known[cut] = data[start:end]
+        return True
 
     def __call__(self, text: str) -> bytes:
-        if self.rough(text):
-            return self._encode(text)
         first, *rest = text.split(" ")
+        if first[-1:].isspace():
+            return self._encode(text)
         known = self.known
-        if len(known) > CACHE_ENTRIES:
-            known.clear()
-        out = [self._encode(first)]
-        for cut in rest:
-            ids = known.get(cut)
-            if ids is None:
-                ids = known[cut] = self._encode(" " + cut)
-            out.append(ids)
-        return b"".join(out)
+        out = [*map(known.get, rest)]
+        if None in out:
+            missing = [*dict.fromkeys(cut for cut, ids in zip(rest, out) if ids is None)]
+            # white space beside a space: the pre-tokens are others there
+            if any(not cut or cut[0].isspace() or cut[-1].isspace() for cut in missing):
+                return self._encode(text)
+            if len(known) > CACHE_ENTRIES:
+                known.clear()
+                missing = [*dict.fromkeys(rest)]
+            groups = [], []
+            for cut in missing:
+                groups[self.plain(cut) is None].append(cut)
+            if not all(self._learn(group) for group in groups if group):
+                return self._encode(text)
+            out = map(known.__getitem__, rest)
+        return self._encode(first) + b"".join(out)
+
+
+@functools.lru_cache(maxsize=2)
+def _tokens(folder: str | None) -> Tokens:
+    """One for all tasks of a Python worker: loading takes time, and what it remembers stays."""
+    return Tokens(folder)
 
 
 def token_pieces(docs: DataFrame, capacity: int = CAPACITY, folder: str | None = None) -> DataFrame:
@@ -84,7 +115,7 @@ def token_pieces(docs: DataFrame, capacity: int = CAPACITY, folder: str | None =
     All pieces of a cut document but the first are full.
     """
     def run(batches):
-        tokens, end = Tokens(folder), np.array([END_TOKEN], "<u4").tobytes()
+        tokens, end = _tokens(folder), np.array([END_TOKEN], "<u4").tobytes()
         for part in pieces(batches):
             doc, piece, start, length, crc = [], [], [], [], []
             for i, text in zip(part.column(0).to_pylist(), part.column(1).to_pylist()):

@@ -18,6 +18,7 @@ from __future__ import annotations
 
 import math
 import re
+import uuid
 from collections import Counter
 
 import numpy as np
@@ -39,6 +40,7 @@ LOOKS_LIKE = {
 }
 SEPARATORS = set(".-_*~'`^/\\,: ")
 OUTER = '.,;:!?"\'()[]{}<>#*$%&|~`«»“”…-_'
+_POINTS = '.,;:?"\''
 SWAP, DROP, SHRINK, DOUBLE = -2.0, -1.0, -0.5, -1.5
 _LETTERS = set("abcdefghijklmnopqrstuvwxyz")
 # Short tokens in a row, of at most PART signs each, are also read over their spaces.
@@ -77,10 +79,12 @@ class Reader:
         self.trigrams, self.floor, self.lexicon = trigrams, floor, lexicon
         self.weights: dict[str, float] = {}
         self.windows: dict[str, tuple[float, ...]] = {}
+        self.heads = {f[1:5] for f in lexicon if f[0] == "^"}
+        self.key = uuid.uuid4().hex
         self.beginnings = {f[:n] for f in lexicon if f[0] != "^" for n in range(1, len(f) + 1)}
         self.starts: dict[int, set[str]] = {}
         for start in {_squeezed(f, _CANON)[:PART + 1] for f in lexicon}:
-            if start:
+            if len(start) > 1:  # one letter lies over no gap
                 self.starts.setdefault(len(start), set()).add(start)
         self.table: np.ndarray | None = None
 
@@ -147,7 +151,7 @@ class Reader:
     def readings(self, token: str) -> list[str]:
         word = token.strip(OUTER)
         out = [word]
-        bare = token.strip('.,;:?"\'')
+        bare = token.strip(_POINTS)
         if self.suspicious(bare):
             out.append(self.restore(bare))
         return out
@@ -157,8 +161,12 @@ class Reader:
         if known is None:
             if len(self.weights) > CACHE_ENTRIES:
                 self.weights.clear()
-            if token.isalpha() and token.isascii() and not _TRIPLE.search(token):   # its own only reading
-                known = max([self.lexicon[f] for f in features(token) if f in self.lexicon], default=0.0)
+            bare = token.strip(_POINTS)
+            if bare.isalpha() and bare.isascii() and not _TRIPLE.search(bare):   # its own only reading
+                if bare[:4] in self.heads:
+                    known = max([self.lexicon[f] for f in features(bare) if f in self.lexicon], default=0.0)
+                else:
+                    known = self.lexicon.get(bare, 0.0)
             else:
                 known = max((self.lexicon[f] for w in self.readings(token) for f in self.found(w)), default=0.0)
             self.weights[token] = known
@@ -184,14 +192,16 @@ class Reader:
             codes = np.frombuffer(c.encode() + bytes(3), np.uint8).astype(np.int32)
             codes -= np.where(codes, 96, 0).astype(np.int32)
             at = np.flatnonzero(self.table[((codes[:-3] * 27 + codes[1:-2]) * 27 + codes[2:-1]) * 27 + codes[3:]])
-            hits: dict[int, Counter] = {}
+            hits: dict[int, dict[str, int]] = {}
             for i, window in zip(at.tolist(), np.searchsorted(np.flatnonzero(codes[:-3] == 0), at).tolist()):
                 for size, starts in self.starts.items():
-                    if c[i:i + size] in starts:
-                        hits.setdefault(window, Counter())[c[i:i + size]] += 1
+                    start = c[i:i + size]
+                    if start in starts:
+                        found = hits.setdefault(window, {})
+                        found[start] = found.get(start, 0) + 1
             for window, found in hits.items():
-                tokens = [_squeezed(t, signs) for t in windows[window].split()]
-                if any(n > sum(t.count(x) for t in tokens) for x, n in found.items()):
+                apart = _squeezed("\0".join(windows[window].split()), signs)
+                if any(n > apart.count(x) for x, n in found.items()):
                     out.add(window)
         return out
 
@@ -223,6 +233,17 @@ class Reader:
         return (max(hits), math.log1p(len(hits))) if hits else (0.0, 0.0)
 
 
+_KEPT: dict[str, Reader] = {}
+
+
+def _kept(reader: Reader) -> Reader:
+    """The reader of this Python worker: what it has seen in one task serves the next."""
+    if reader.key not in _KEPT:
+        _KEPT.clear()
+        _KEPT[reader.key] = reader
+    return _KEPT[reader.key]
+
+
 def _squeezed(text: str, signs: dict) -> str:
     return _REPEATED.sub(r"\1", _NO_LETTER.sub("", text.translate(signs)))
 
@@ -260,14 +281,18 @@ def trigram_counts(docs: DataFrame) -> DataFrame:
 
 
 def _letters(words: Counter) -> Counter:
-    out = Counter()
-    for word, n in words.items():
-        word = word.strip(OUTER)
-        if word and set(word) <= _LETTERS:
-            padded = "^^" + word + "$"
-            for i in range(len(padded) - 2):
-                out[padded[i:i + 3]] += n
-    return out
+    """Trigrams of the words of letters alone, each between ``^^`` and ``$``."""
+    bare = [(w.strip(OUTER), n) for w, n in words.items()]
+    bare = [(w, n) for w, n in bare if w.isascii() and w.isalpha()]
+    if not bare:
+        return Counter()
+    signs = np.frombuffer("".join([f"^^{w}$" for w, _ in bare]).encode(), np.uint8).astype(np.int32)
+    many = np.repeat([n for _, n in bare], [len(w) + 3 for w, _ in bare])
+    code = np.where(signs == ord("^"), 26, np.where(signs == ord("$"), 27, signs - ord("a")))
+    inside = (code[:-2] != 27) & (code[1:-1] != 27)
+    total = np.bincount(((code[:-2] * 28 + code[1:-1]) * 28 + code[2:])[inside], many[:-2][inside])  # exact to 2 ** 53
+    name = "abcdefghijklmnopqrstuvwxyz^$"
+    return Counter({name[k // 784] + name[k // 28 % 28] + name[k % 28]: int(total[k]) for k in np.flatnonzero(total).tolist()})
 
 
 def _seen(rows: DataFrame) -> DataFrame:
@@ -330,8 +355,9 @@ def learn(docs: DataFrame, labels: DataFrame, limit: int = SAMPLE_ROWS) -> tuple
     reader = Reader(trigrams, math.log(1e-4), lexicon(rows, n_toxic, n_clean))
 
     def evidence(batches):
+        kept = _kept(reader)
         for batch in batches:
-            pairs = [reader.evidence(t) for t in batch.column(0).to_pylist()]
+            pairs = [kept.evidence(t) for t in batch.column(0).to_pylist()]
             yield pa.record_batch([pa.array([p[0] for p in pairs], pa.float64()), pa.array([p[1] for p in pairs], pa.float64()),
                                    batch.column(1)], names=["a", "b", "toxic"])
     table = rows.mapInArrow(evidence, "a double, b double, toxic int").groupBy("a", "b", "toxic").agg(
@@ -347,7 +373,8 @@ def scorer(docs: DataFrame, labels: DataFrame, limit: int = SAMPLE_ROWS):
 
     @pandas_udf("double")
     def score(texts: pd.Series) -> pd.Series:
-        pairs = np.array([reader.evidence(t or "") for t in texts], float).reshape(-1, 2)
+        kept = _kept(reader)
+        pairs = np.array([kept.evidence(t or "") for t in texts], float).reshape(-1, 2)
         return pd.Series(1 / (1 + np.exp(-np.clip(weights[0] + pairs @ weights[1:], -30, 30))))
     return score
 

@@ -5,6 +5,7 @@ from __future__ import annotations
 import collections
 import hashlib
 import math
+import pickle
 import random
 import re
 import zlib
@@ -349,6 +350,34 @@ def test_tokens_are_predicted_from_the_tokens_before(spark, monkeypatch):
     assert again == pytest.approx({k: r["score"] for k, r in got.items()})
 
 
+def test_new_words_of_a_text_are_encoded_together(monkeypatch):
+    tokens = packing.Tokens()
+    rng = random.Random(7)
+    parts = [" ", " ", "  ", "\n", " \n", "\t", "\xa0", "\x85", "a", "the", "été", "中", "<|endoftext|>", "<|", "'s", "12", ",", "日本"]
+    odd = ["".join(rng.choice(parts) for _ in range(rng.randint(0, 14))) for _ in range(1000)]
+    for text in odd + odd[:50]:
+        assert tokens(text) == np.array(tokens.exact.encode(text, add_special_tokens=False).ids, "<u4").tobytes()
+    calls, ids = [], tokens._ids
+    monkeypatch.setattr(tokens, "_ids", lambda text: calls.append(text) or ids(text))
+    text = " ".join(f"new{i}x" for i in range(300))
+    assert tokens(text) == np.array(tokens.exact.encode(text, add_special_tokens=False).ids, "<u4").tobytes() and len(calls) == 2
+    monkeypatch.setattr(packing, "CACHE_ENTRIES", 10)
+    assert tokens(text + " more") == np.array(tokens.exact.encode(text + " more", add_special_tokens=False).ids, "<u4").tobytes()
+
+
+def test_tasks_of_a_worker_share_a_reader(monkeypatch):
+    monkeypatch.setattr(toxicity, "_KEPT", {})
+    reader = toxicity.Reader({}, -9.0, {"idiot": 2.0, "r": 1.0, "^scum": 3.0, "scumbag": 1.5})
+    first, second = (toxicity._kept(pickle.loads(pickle.dumps(reader))) for _ in range(2))
+    assert first is second
+    assert toxicity._kept(toxicity.Reader({}, -9.0, {})) is not first
+    calls, squeezed = [], toxicity._squeezed
+    monkeypatch.setattr(toxicity, "_squeezed", lambda *a: calls.append(a) or squeezed(*a))
+    assert reader.may_hide(["id iot", "r r r or ar", "an id of", "idiot is", "s cum b ag"]) == {0, 4}
+    assert len(calls) <= 6  # windows with hits, not their tokens
+    assert [reader.weight(w) for w in ("idiot", "Idiot".lower() + "!", "scumbags.", "scumbo", "scums", "r,", "clean")] == [2.0, 2.0, 3.0, 3.0, 0.0, 1.0, 0.0]
+
+
 def test_quality_rules(spark, docs, empty):
     import duckdb
     documents = docs.select("doc_id", "text").toPandas().astype({"doc_id": "Int64"})  # noqa: F841 - read by the query

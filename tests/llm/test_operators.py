@@ -582,3 +582,52 @@ def test_toxic_words_do_not_depend_on_partitions(spark):
     rows = spark.createDataFrame([("some nasty words",)] * 40 + [("nasty again",)], "text string")
     seen = [{r["key"]: r["n"] for r in toxicity._seen(rows.repartition(n)).collect()} for n in (1, 8)]
     assert seen[0] == seen[1] and seen[0]["nasty"] == 2 and seen[0]["words"] == 1
+
+
+def test_runs_that_occur_twice_are_in_the_tree(spark):
+    """Scores worked out between chunks against the tree in one place, among ten million other tokens."""
+    lm = suffix_tree_lm
+    rng = random.Random(8)
+    words = [f"w{i}" for i in range(40)]
+    phrase = "odd phrase in two texts"
+    said = [" ".join(rng.choices(words, k=rng.randint(0, 60))) for _ in range(150)]
+    said[3] += " " + " ".join([phrase] * 6)
+    said[9] += " " + " ".join([phrase] * 6)
+    texts = [t.encode().split() for t in said]
+    asked = [f"w1 {phrase} w2 unseen w3".encode().split(), b"w1 two texts phrase in odd w2 unseen w3".split(), []]
+    tree, number, _ = _token_tree(texts)
+    many = collections.Counter(w for t in texts for w in t)
+    root = {w: many[w] / 1e7 for w in many} | {b"unseen": 1e-9}
+    rows = []
+    for chunk in range(3):
+        own = [(i, t, True) for i, t in enumerate(texts) if i % 3 == chunk] + [(1000 + i, t, False) for i, t in enumerate(asked) if i % 3 == chunk]
+        known = sorted({w for _, t, _ in own for w in t}, key=lambda w: (len(w), w))
+        at = {w: i for i, w in enumerate(known, 2)}
+        keys = np.array([1, 2, *(zlib.crc32(w) + 3 for w in known)], np.uint64)
+        n = np.array([len(texts), len(texts), *(many[w] for w in known)], np.int64)
+        p = np.array([1.0, 1e-4, *(root[w] for w in known)])
+        tokens = np.concatenate([[0, *(at[w] for w in t), 1] for _, t, _ in own]).astype(np.int32)
+        rows.append((chunk, *(bytearray(lm._zip(x.tobytes())) for x in (lm.mix(keys), n, p)), [bytearray(lm._zip(x.tobytes())) for x in (tokens[:50], tokens[50:])],
+                     [i for i, _, _ in own], [learn for _, _, learn in own], [len(t) for _, t, _ in own], [0] * len(own), [0.0] * len(own)))
+    got = {r["doc_id"]: r["score"] for r in lm.predict_tokens(spark.createDataFrame(rows, lm._NUMBERED), 4).collect()}
+    p = np.array([0.0, 1.0, 1e-4, *(root[w] for w in sorted(many))])
+    codes = tree.codes[tree.codes >> lm.BITS == 0]
+    tree = lm.TokenTree(tree.codes, _run_counts(texts, number, tree.codes), p)
+    assert len(codes) == len(many) + 2 and (tree.rest < 1).sum() > 5
+    for i, t in [*enumerate(texts), *enumerate(asked, 1000)]:
+        token = np.array([lm.START, *(number.get(w, 0) for w in t), lm.END])
+        first = np.array([1.0, *(root[w] for w in t), 1e-4])
+        assert got[i] == pytest.approx(np.log10(tree.predict(token, first)).sum(), abs=1e-9)
+    assert got[1000] > got[1001] + 10
+
+
+def _run_counts(texts, number, codes):
+    found = collections.Counter()
+    for t in texts:
+        row = [suffix_tree_lm.START, *(number[w] for w in t), suffix_tree_lm.END]
+        for i in range(len(row)):
+            code = 0
+            for x in row[i:i + suffix_tree_lm.REACH + 1]:
+                code = code << suffix_tree_lm.BITS | x
+                found[code] += 1
+    return np.array([found[int(c)] for c in codes])
